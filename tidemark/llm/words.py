@@ -45,7 +45,7 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 def multipliers(n: int, seed: int = 1) -> np.ndarray:
     """n odd 64-bit numbers from a seed."""
-    return scramble(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed) * MIX) | np.uint64(1)
+    return scramble(np.arange(seed << 32, (seed << 32) + n, dtype=np.uint64)) | np.uint64(1)
 
 
 def combine(h: np.ndarray, offsets: tuple[int, ...], span: int, seed: int = 1) -> np.ndarray:
