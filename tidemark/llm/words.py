@@ -71,3 +71,31 @@ def alnum_words(text: str) -> list[bytes]:
 def spaced_words(text: str) -> list[bytes]:
     """A-Z lower-cased, then runs of characters other than space, tab, LF, VT, FF, CR."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+class Joined:
+    """The word hashes of many texts in one array, so that numpy calls serve them all."""
+
+    def __init__(self, texts: list[str]):
+        words = [alnum_words(t) for t in texts]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.hashes = np.concatenate([hash_words(w) for w in words]) if words else np.empty(0, np.uint64)
+
+    def windows(self, offsets: tuple[int, ...], span: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the array, hashes) of the windows that lie within one text."""
+        found = combine(self.hashes, offsets, span, seed)
+        at = np.flatnonzero(self.owner[: len(found)] == self.owner[span - 1 :][: len(found)])
+        return at, found[at]
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the words stand consecutively within one text."""
+        n = len(self.hashes) - len(words) + 1
+        if n <= 0:
+            return np.empty(0, np.int64)
+        hit = np.flatnonzero(self.hashes[:n] == np.uint64(xxhash.xxh3_64_intdigest(words[0].encode())))
+        for k, w in enumerate(words[1:], 1):
+            hit = hit[self.hashes[hit + k] == np.uint64(xxhash.xxh3_64_intdigest(w.encode()))]
+        return hit[self.owner[hit] == self.owner[hit + len(words) - 1]]
