@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, license_scan, neardup, packing, token_files
+from tidemark.llm import decontam, license_scan, neardup, packing, token_files, toxicity
 from tidemark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_decontamination, op6_packing, op7_near_duplicates, op9_license_scan, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_decontamination, op6_packing, op7_near_duplicates, op8_toxicity, op9_license_scan, op10_token_files)}
 
 SQL: dict[str, str] = {}
