@@ -9,11 +9,13 @@ concentration of t independent MinHashes, at a cost of O(n + t log t) a text.
 Banding: BANDS keys of ROWS coordinates. A pair at similarity 0.75 shares no key with
 probability (1 - 0.75 ** ROWS) ** BANDS, about 5e-6.
 
-Links: texts with equal shingle sets are one node (digest of the set). In each bucket every
-member is compared with a few pivots, not with every other member; what a pivot links is
-one component and needs no more comparing, and pivots leave. Members that are still apart
-go on, with more pivots a round, until no bucket holds two components. So every candidate
-pair is either compared on the full sets or already joined: nothing is capped.
+Links: texts with equal shingle sets are one node (digest of the set). First every member
+of a bucket is compared with the bucket's least member, and components are formed. Where a
+bucket then still holds several components, its pairs across components are compared: in
+buckets of at most SMALL members pair by pair; in larger ones each outsider is laid against
+the bucket's most frequent component and against the other outsiders, block by block, so
+that no row is made for a pair that isn't linked. Every pair that shares a key is thus
+either compared on the full sets or joined already: nothing is capped.
 
 Defined cases: null and empty texts have no shingles, are linked with nothing and kept;
 fewer than five words are one shingle; rows that share a doc_id are one document; rows
@@ -28,7 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import rows_of, stage, texts
@@ -40,8 +42,10 @@ ROWS, BANDS = 5, 45
 COORDINATES = ROWS * BANDS
 #: Linked when SIMILAR[1] * intersection >= SIMILAR[0] * union.
 SIMILAR = (75, 100)
-#: Pivots a bucket in each round; the last number holds for all later rounds.
-PIVOTS = (1, 8, 64, 512)
+#: Buckets up to this many members are compared pair by pair: work in proportion to members.
+SMALL = 32
+#: Sets laid against each other in one task's numpy calls, on either side.
+LEFT_BLOCK, RIGHT_BLOCK = 256, 1024
 
 _SEEDS = multipliers(2 * COORDINATES, seed=7)
 _EMPTY = np.uint64(2**64 - 1)
@@ -134,16 +138,84 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").where(both * SIMILAR[1] >= union * SIMILAR[0]).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
 
-def _pairs(entries: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(pivots of each bucket, distinct pairs of a pivot and a member of another component)."""
-    if pivots == 1:
-        chosen = entries.groupBy("key").agg(F.min(F.struct("id", "n", "label")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
-    else:
-        place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        chosen = entries.withColumn("place", place).where(F.col("place") <= pivots).select("key", F.col("id").alias("pid"), F.col("n").alias("pn"), F.col("label").alias("plabel"))
-    sized = (F.least("n", "pn") * SIMILAR[1] >= F.greatest("n", "pn") * SIMILAR[0]) & (F.col("label") != F.col("plabel"))
-    pairs = entries.join(chosen, "key").where(sized).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
-    return chosen.select("key", F.col("pid").alias("id")), pairs
+def _similar_size(n: str, m: str) -> Column:
+    return F.least(n, m) * SIMILAR[1] >= F.greatest(n, m) * SIMILAR[0]
+
+
+def similar_rows(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left set, the right sets that are similar enough, by an inverted index."""
+    sizes = np.array([len(x) for x in right])
+    values, word = np.unique(np.concatenate(right), return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    posting = np.repeat(np.arange(len(right)), sizes)[order]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(values)))])
+    for i, found in enumerate(left):
+        at = np.searchsorted(values, found)
+        at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == found)]
+        if not len(at):
+            continue
+        lengths = ends[at + 1] - ends[at]
+        places = np.arange(lengths.sum()) + np.repeat(ends[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
+        both = np.bincount(posting[places], minlength=len(right))
+        hit = np.flatnonzero(both * SIMILAR[1] >= (len(found) + sizes - both) * SIMILAR[0])
+        if len(hit):
+            yield i, hit
+
+
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the rows with side 0 and those with side 1, of different labels."""
+    side, ids, labels = (table.column(c).to_numpy() for c in ("side", "id", "label"))
+    lists = table.column("shingles").combine_chunks()
+    values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    u, v = [], []
+    if len(left) and len(right):
+        of = lambda rows: [values[ends[i] : ends[i + 1]] for i in rows]
+        for i, hit in similar_rows(of(left), of(right)):
+            hit = right[hit]
+            hit = hit[labels[hit] != labels[left[i]]]
+            if len(hit):  # one link to each component is enough
+                hit = hit[np.unique(labels[hit], return_index=True)[1]]
+                u += [ids[left[i]]] * len(hit)
+                v += ids[hit].tolist()
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_LINKS)
+
+
+def _laid_out(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the left and right rows (g, id, label) of equal g, in blocks of bounded size."""
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("g").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    counts = stage(blocks(left, LEFT_BLOCK, "n_left").join(blocks(right, RIGHT_BLOCK, "n_right"), "g"), "blocks")
+    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(counts, "g").withColumn("x", number("n_left")).select("g", "x", all_of("n_right").alias("y"), F.lit(0).alias("side"), "id", "label")
+    b = right.join(counts, "g").withColumn("y", number("n_right")).select("g", all_of("n_left").alias("x"), "y", F.lit(1).alias("side"), "id", "label")
+    laid = a.unionByName(b).join(sets, "id").select("g", "x", "y", "side", "id", "label", "shingles")
+    return laid.groupBy("g", "x", "y").applyInArrow(_block_links, "u long, v long")
+
+
+def _across(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members (key, id, n, label) of one bucket whose labels differ."""
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "size")
+    mixed = stage(entries.join(sizes, "key"), "mixed")
+    small = mixed.where(F.col("size") <= SMALL)
+    other = small.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    pairs = small.join(other, "key").where((F.col("id") < F.col("b")) & (F.col("label") != F.col("other")) & _similar_size("n", "m"))
+    links = _linked(pairs.select(F.col("id").alias("a"), "b").distinct(), sets)
+    large = mixed.where(F.col("size") > SMALL)
+    if large.isEmpty():
+        return links
+    homes = large.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("home"))
+    outside = stage(large.join(homes, "key").where("label <> home").select("key", "home", "id", "label"), "outside")
+    at_home = outside.select(F.col("home").alias("g"), "id", "label").distinct()
+    members = large.select(F.col("label").alias("g"), "id", "label").distinct().join(outside.select(F.col("home").alias("g")).distinct(), "g", "left_semi")
+    among = outside.select(F.col("key").alias("g"), "id", "label")
+    return links.unionByName(_laid_out(at_home, members, sets)).unionByName(_laid_out(among, among, sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -157,23 +229,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     in_bands = nodes.select("id", "n", F.explode("bands").alias("key"))
     with filtered_joins(spark):
         shared = stage(in_bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"), "keys")
-        entries = stage(in_bands.join(shared.where("low < high").select("key"), "key", "left_semi").withColumn("label", F.col("id")), "entries")
+        entries = stage(in_bands.join(shared.where("low < high").select("key"), "key", "left_semi"), "entries")
         ids = stage(entries.select("id", "n").distinct(), "candidates")
         sets = stage(own.join(ids.where("n > 0").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
 
-    # a document can be the first of two sets only if rows share its doc_id
     stars = None
-    for round_ in range(10**6):
-        if entries.isEmpty():
-            break
-        done, pairs = _pairs(entries, PIVOTS[min(round_, len(PIVOTS) - 1)])
-        links = _linked(pairs, sets)
-        stars = components(links if stars is None else links.unionByName(stars))
-        labels = stars.select(F.col("u").alias("id"), F.col("v").alias("to"))
-        rest = entries.join(done, ["key", "id"], "left_anti").join(labels, "id", "left").select("key", "id", "n", F.coalesce("to", "id").alias("label"))
-        rest = stage(rest, "entries")
-        apart = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        entries = stage(rest.join(apart, "key", "left_semi"), "entries")
+    if not entries.isEmpty():
+        pivots = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"))
+        pairs = entries.join(pivots, "key").where((F.col("id") != F.col("pid")) & _similar_size("n", "pn")).select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct()
+        stars = components(_linked(pairs, sets))
+        rest = entries.join(pivots.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
+        rest = rest.join(stars.select(F.col("u").alias("id"), "v"), "id", "left").select("key", "id", "n", F.coalesce("v", "id").alias("label"))
+        stars = components(stars.unionByName(_across(stage(rest, "rest"), sets)))
 
     first = nodes.select("set_digest", "id")
     if stars is not None:
