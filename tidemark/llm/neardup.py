@@ -252,3 +252,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with all their columns. Rows that share a
+    doc_id are one document, of which one row with the least text stays."""
+    removed = stage(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-removed")
+    left = docs.join(removed, "doc_id", "left_anti")
+    repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if not repeated.isEmpty():
+        again = left.join(repeated, "doc_id", "left_semi")
+        first = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
+        left = left.join(repeated, "doc_id", "left_anti").unionByName(first.select("row.*"))
+    return left.select(*docs.columns)
