@@ -1,0 +1,204 @@
+"""Secrets, licences, benchmark passages and recurring lines against plain Python."""
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontam, license_scan, line_templates, secrets
+
+SF = "/root/testdata/sf0.01"
+
+# secrets
+
+
+def secret_spans(rows):
+    """[(doc_id, base spans, all spans)] of (doc_id, text, owner), by re."""
+    ascii_case = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    names = "|".join(map(ascii_case, ("password", "passwd", "secret", "token"))) + "|" + "[aA][pP][iI]_?[kK][eE][yY]"
+    assign = re.compile(rf"""(?:{names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    plain = {"access": (re.compile(r"AKIA[A-Z0-9]+"), 18), "hex": (re.compile(r"[0-9a-f]+"), 16)}
+    owners, held = defaultdict(set), []
+    for doc_id, text, owner in rows:
+        text, found = text or "", []
+        for m in assign.finditer(text):
+            if len(m[1]) >= 12:
+                found.append(("assign", m.start(), m.end(), m[1]))
+        for kind, (pattern, least) in plain.items():
+            found += [(kind, m.start(), m.end(), m[0]) for m in pattern.finditer(text) if len(m[0]) >= least]
+        blobs = [("blob", m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text)]
+        found += [b for b in blobs if all(re.search(p, b[3]) for p in ("[0-9]", "[a-z]", "[A-Z]"))]
+        for f in found:
+            owners[f[3]].add(owner or "")
+        held.append((doc_id, found))
+    out = []
+    for doc_id, found in held:
+        base = [(s, ["assign", "access", "hex"].index(k), e, k) for k, s, e, _ in found if k != "blob"]
+        live = {(e - len(v), 3, e, "live") for _, _, e, v in found if len(owners[v]) < 3 and len(v) >= 16 and len(set(v)) >= 8}
+        text_of = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
+        out.append((doc_id, text_of(base), text_of([*base, *live])))
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "none", "planted"])
+def test_secrets(which, request, spark):
+    if which == "planted":
+        example = "AKIA" + "IOSFODNN7EXAMPLE"
+        rows = [(i, f"é{i} 😀 key {example}, Api_Key = '{example}'", f"o{i}") for i in range(4)]
+        rows += [(10, "token: secret: abcdefghijklmnop", "o1"), (11, "TOKEN=secret=abcdefghijklmnop", "o1"), (12, "passwd:\"Zx9" + "aQ" * 10, "o2"), (13, "deadbeefdeadbeef" * 3, "o3"), (14, "ſecret=abcdefghijklmnop toKen=aaaaaaaaaaaa", "o3")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    else:
+        df = request.getfixturevalue(which)
+    got = secrets.secrets(df, F.col("source"), F.col("source")).collect()
+    want = secret_spans([tuple(r) for r in df.select("doc_id", "text", "source").collect()])
+    assert Counter((r.doc_id, r.base_sha256, r.spans) for r in got) == Counter((d, hashlib.sha256(b.encode()).hexdigest(), a) for d, b, a in want)
+    for r in got:
+        kinds = Counter(s.split(":")[0] for s in r.spans.split(",") if s)
+        assert (r.n_assign, r.n_access, r.n_hex, r.n_live) == tuple(kinds[k] for k in secrets.KINDS)
+    if which == "planted":
+        assert all("live" not in r.spans and r.n_shared == 3 for r in got if r.doc_id < 10)
+
+
+def test_secret_scan_is_native(docs):
+    plan = secrets.secrets(docs, F.col("source"), F.col("lang"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# licences
+
+
+def words_of(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "none"])
+def test_licence_base(which, request):
+    df = request.getfixturevalue(which)
+    got = license_scan.license_labels(df).collect()
+    want = []
+    for d, t in df.select("doc_id", "text").collect():
+        w = words_of(t)
+        at = [(i, label) for phrase, label in license_scan.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        want.append((d, len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == Counter(want)
+    for r in got:
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+
+
+def test_licence_votes(spark):
+    mit = dict((k, v) for k, v in license_scan.TEMPLATES if k == "mit")["mit"]
+    cut = mit.replace("free of charge,", "free of any charge,")
+    rows = [(1, f"before {mit} after"), (2, f"x {cut}, and so on"), (3, "All rights reserved."), (4, "licensed under the moon"), (5, "Licensed under CC BY-NC 4.0."), (6, " ".join(mit.split()[:8])), (7, "General  Public\nLICENSE; MIT-License")]
+    got = {r.doc_id: r for r in license_scan.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(1, 8)] == ["mit", "mit", "all-rights-reserved", "", "cc-by-nc", "", "gpl,mit"]
+    assert got[4].score == 0 and got[1].score == got[2].score == 1
+
+
+# benchmark passages
+
+
+def test_leaks_equal_whole_passages(spark, docs):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, benchmark).collect()}
+    items = {r.item_id: words_of(r.text) for r in benchmark.collect()}
+    want = set()
+    for d, t in docs.select("doc_id", "text").collect():
+        w = " " + " ".join(words_of(t)) + " "
+        want |= {(d, i) for i, x in items.items() if f" {' '.join(x)} " in w}
+    assert set(got) == want and want
+    assert all(r.matched == r.length == r.item_words for r in got.values())
+
+
+def test_substitutions_and_short_items(spark):
+    item = [f"alpha{i}" for i in range(30)]
+    changed = list(item)
+    for k in (5, 11, 17, 24):
+        changed[k] = "other"
+    lost = [x if i % 3 else "other" for i, x in enumerate(item)]
+    part = [*item[:14], *(f"own{i}" for i in range(20))]
+    rows = [(1, " ".join(["x", *item, "y"])), (2, " ".join(["x"] * 40 + changed)), (3, " ".join(lost)), (4, " ".join(part)), (5, " ".join(item[:9])), (6, None), (7, ""), (8, "tiny item text"), (None, " ".join(item))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "tiny item text"), (3, None), (4, " ".join(item))], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    assert got == [(d, i) for d in (0, 1, 2, 4) for i in (1, 4)]
+
+
+def test_decontamination_keeps_columns_and_handles_odd_rows(spark, odd, none):
+    bench = spark.createDataFrame([(1, "and here the second of them quite other words")], "item_id long, text string")
+    kept = decontam.decontaminate(odd, bench)
+    assert kept.columns == odd.columns and 7 not in {r.doc_id for r in kept.collect()} and kept.count() == odd.count() - 2
+    assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(odd, bench.limit(0)).count() == 0
+
+
+# recurring lines
+
+
+def brute_lines(rows):
+    """{(doc_id, text): kept lines} by a dictionary tree."""
+    T = line_templates
+    mask = lambda line: [("<*>" if re.search("[0-9]", t) else t) for t in line.strip(" ").split(" ")]
+    texts = sorted({(d is not None, d or 0, t or "") for d, t in rows})
+    held = defaultdict(list)
+    for has, d, t in texts:
+        for pos, line in enumerate(t.split("\n")):
+            tokens = mask(line)
+            if tokens != [""]:
+                held[tuple(tokens)].append(((has, d), pos, t))
+    leaves = defaultdict(list)
+    for tokens in held:
+        leaves[(len(tokens), *tokens[: T.LEADING])].append(tokens)
+    template = {}
+    for leaf, variants in leaves.items():
+        n_texts = sum(len({t for _, _, t in held[v]}) for v in variants)
+        if len(variants) > 1 and n_texts >= T.MIN_DOCUMENTS:
+            shape = []
+            for column in zip(*variants, strict=True):
+                have, token = max((n, x) for x, n in Counter(column).items())
+                shape.append(token if have >= T.CONSTANT * len(variants) else None)
+            for v in variants:
+                if sum(a == b for a, b in zip(v, shape, strict=True)) >= T.SIMILAR * len(v):
+                    template[v] = ("leaf", leaf)
+    by = defaultdict(list)
+    for v, places in held.items():
+        by[template.get(v, v)] += places
+    drop = set()
+    for places in by.values():
+        if len({t for _, _, t in places}) >= T.MIN_DOCUMENTS:
+            first = min((d, pos) for d, pos, _ in places)
+            drop |= {(d, t, pos) for d, pos, t in places if (d, pos) != first}
+    return {((d if has else None), t): [x for i, x in enumerate(t.split("\n")) if ((has, d), t, i) not in drop] for has, d, t in texts}
+
+
+def check_lines(df):
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    want = brute_lines(rows)
+    got = line_templates.line_dedup(df).collect()
+    texts = lambda d, t: None if t is None else "\n".join(want[(d, t)])
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[1] is None)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=key) == sorted(((d, texts(d, t), len((t or "").split("\n")), len((t or "").split("\n")) - len(want[(d, t or "")])) for d, t in rows), key=key)
+    return got
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "none"])
+def test_line_dedup(which, request):
+    check_lines(request.getfixturevalue(which))
+
+
+def test_templates_generalise(spark):
+    rows = [(i, f"{name} wrote this one line alone\n  2024-01-{i:02d} the user called {name} logged in from host h{i} ok \nshared footer\n\nend of {name}") for i, name in enumerate("ada bob cat dan eve fay gus hal ivy jon kim leo".split())]
+    rows += [(i + 100, rows[0][1]) for i in range(20)]  # exact copies count once
+    got = {r.doc_id: r for r in check_lines(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got[0].n_dropped == 0 and "shared footer" in got[0].text
+    assert "logged in" not in got[5].text and "shared footer" not in got[5].text and got[5].text.startswith("fay wrote")
+    assert math.isclose(got[5].n_lines, 5)
+
+
+def test_line_dedup_is_native(docs):
+    assert "Python" not in line_templates.line_dedup(docs)._jdf.queryExecution().toString()
+
+
+def test_deduplicated_keeps_columns(odd):
+    got = line_templates.deduplicated(odd)
+    assert got.columns == odd.columns and got.count() == odd.count()
