@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import sizing
+from tidemark.operators.levels import broadcast_if_small
 
 
 def positions(key: Column, m: Column, k: Column) -> Column:
@@ -76,5 +77,5 @@ def stats(filters: DataFrame) -> DataFrame:
 
 def pruned(filters: DataFrame, files: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, file_number): files a point read must open, by range and then by filter."""
-    near = keys.select("key").distinct().join(F.broadcast(files), F.col("key").between(F.col("smallest"), F.col("largest"))).select("file_number", "key")
+    near = keys.select("key").distinct().join(broadcast_if_small(files), F.col("key").between(F.col("smallest"), F.col("largest"))).select("file_number", "key")
     return may_contain(filters, near).where("maybe").select("key", "file_number")

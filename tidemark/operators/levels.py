@@ -16,6 +16,12 @@ def overlaps(smallest: Column, largest: Column, start: Column, end: Column) -> C
     return (smallest.isNull() | end.isNull() | (smallest <= end)) & (largest.isNull() | start.isNull() | (largest >= start))
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many (narrow) rows; otherwise as it is,
+    and Spark deals both sides of the join out."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def files_in_range(files: DataFrame, level: int | None = None, start=None, end=None) -> DataFrame:
     own = files if level is None else files.where(F.col("level") == level)
     kind = files.schema["smallest"].dataType
@@ -25,7 +31,7 @@ def files_in_range(files: DataFrame, level: int | None = None, start=None, end=N
 def files_for_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """(range_id, file_number) for each of a stated set of ranges (range_id, start_key, end_key)."""
     hit = overlaps(F.col("smallest"), F.col("largest"), F.col("start_key"), F.col("end_key"))
-    return files.join(F.broadcast(ranges), hit).select("range_id", "file_number")
+    return files.join(broadcast_if_small(ranges), hit).select("range_id", "file_number")
 
 
 def key_range(rows: DataFrame) -> DataFrame:

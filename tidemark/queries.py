@@ -367,7 +367,7 @@ def kv_bloom_prune(spark, sf_dir):
     stored = _file_keys(spark, sf_dir)
     filters = bloom.build(stored)
     probes = tables.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
-    near = probes.join(F.broadcast(tables.event_files(spark, sf_dir)), F.col("key").between(F.col("smallest"), F.col("largest"))).select("file_number", "key")
+    near = probes.join(levels.broadcast_if_small(tables.event_files(spark, sf_dir)), F.col("key").between(F.col("smallest"), F.col("largest"))).select("file_number", "key")
     asked = bloom.may_contain(filters, near).join(stored.withColumn("stored", F.lit(True)), ["file_number", "key"], "left")
     wrong = F.count_if(F.col("maybe") & F.col("stored").isNull())
     absent = F.count_if(F.col("stored").isNull())
