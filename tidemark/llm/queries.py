@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, license_scan, line_templates, media, neardup, packing, quality, secrets, token_files, toxicity
 from tidemark.llm.common import table
+from tidemark.llm.sql import SQL as SQL
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +55,3 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_quality, op4_media, op5_decontamination, op6_packing, op7_near_duplicates, op8_toxicity, op9_license_scan, op10_token_files)}
-
-SQL: dict[str, str] = {"op1_secrets": secrets.SQL}
