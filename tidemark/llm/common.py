@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def filtered_joins(spark: SparkSession):
+    """Within, Spark filters the large side of a shuffled join by a Bloom filter of bounded
+    size (spark.sql.optimizer.runtime.bloomFilter.maxNumBits) before it shuffles. The small
+    sides grow with the corpus, so they are merged at every size, never broadcast."""
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", name + "enabled": "true", name + "applicationSideScanSizeThreshold": "0", name + "creationSideThreshold": "1g"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this package even when the driver runs in another folder."""
     env = spark.sparkContext.environment
@@ -73,5 +91,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def rows_of(batch, *names: str) -> Iterable[tuple]:
     return zip(*(batch.column(n).to_pylist() for n in names), strict=True)

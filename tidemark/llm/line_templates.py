@@ -1,7 +1,7 @@
 """Line dedup by a fixed-depth log-template tree; DataFrame functions only.
 
-A line's tokens are its runs of characters other than spaces; a token with a digit is the
-variable <*>. Its leaf in the tree is its token count and its LEADING first tokens. Lines of
+A line's tokens are what single spaces part it into, spaces at its ends aside; a token with
+a digit is the variable <*>. Its leaf in the tree is its token count and its LEADING first tokens. Lines of
 one leaf whose other tokens differ may be one template with more variable fields: where a
 leaf has several wordings and is in MIN_DOCUMENTS texts or more, each position's most
 frequent token stays constant if at least CONSTANT of the wordings have it, and wordings
@@ -24,48 +24,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, whole_text
+from tidemark.llm.common import filtered_joins, stage, unused, whole_text
 
 LEADING = 3
 MIN_DOCUMENTS = 10
 CONSTANT = 0.5
 SIMILAR = 0.6
 #: From the start of a token only, and without giving back, so in time linear in the text.
-VARIABLE = r"(?<![^ ])[^ 0-9\n]*+[0-9][^ \n]*+"
+VARIABLE = r"(?<![^ \n])[^ 0-9\n]*+[0-9][^ \n]*+"
 
 
-def _lines(rows: DataFrame, text: str = "text") -> DataFrame:
-    """rows with (pos, masked, n) for each line: the line with its variables masked."""
-    masked = F.regexp_replace(F.regexp_replace(text, r"[\t\r\x0b\f]", " "), VARIABLE, "<*>")
-    lines = rows.withColumn("masked_text", masked).select(*[c for c in rows.columns if c != text], F.posexplode(F.split("masked_text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("tokens", F.split(F.trim(F.regexp_replace("line", " {2,}", " ")), " ", -1))
-    n = F.when(F.col("tokens")[0] == "", 0).otherwise(F.size("tokens"))
-    return lines.drop("line").withColumn("n", n)
+def _masked(text: Column | str) -> Column:
+    return F.regexp_replace(text, VARIABLE, "<*>")
 
 
-def _leaf(tokens: str = "tokens", n: str = "n") -> Column:
-    return F.xxhash64(F.col(n), F.slice(tokens, 1, LEADING))
+def _n_tokens(line: str) -> Column:
+    return F.when(F.col(line) == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1)
 
 
-def _templates(docs: DataFrame, wordings: DataFrame) -> DataFrame:
+def _templates(docs: DataFrame, held: DataFrame) -> DataFrame:
     """(leaf, wording, template) for the wordings that a leaf's template takes in.
 
-    wordings: (leaf, wording, texts). Only leaves that can recur and vary are looked at.
+    held: (leaf, wording, content, first). Only leaves that can recur and vary are looked at,
+    and of each of their wordings one line, which is read again from its text.
     """
+    wordings = held.groupBy("leaf", "wording").agg(F.count("*").alias("texts"), F.min(F.struct("first.doc_id", "first.pos", "content")).alias("at"))
     leaves = wordings.groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("texts").alias("texts"))
     leaves = stage(leaves.where((F.col("variants") > 1) & (F.col("texts") >= MIN_DOCUMENTS)).select("leaf"), "leaves")
-    rows = _lines(docs.select(whole_text().alias("text"))).where("n > 0").select(_leaf().alias("leaf"), "tokens", "n")
-    of_leaves = rows.join(leaves, "leaf").select("leaf", F.xxhash64("tokens").alias("wording"), "tokens", "n")
-    variants = stage(of_leaves.dropDuplicates(["leaf", "wording"]), "variants")
+    wanted = wordings.join(leaves, "leaf").groupBy(F.col("at.doc_id").alias("wanted_id"), F.col("at.content").alias("content")).agg(F.collect_list(F.struct("at.pos", "leaf", "wording")).alias("lines"), F.count("*").alias("n"))
+    wanted = stage(wanted, "wanted").where("n > 0")
+    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("content"), whole_text().alias("text")).join(wanted.hint("merge"), ["content"]).where(F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    rows = rows.select(F.split(_masked("text"), "\n").alias("all"), F.explode("lines").alias("l")).select("l.leaf", "l.wording", F.split(F.trim(F.get("all", F.col("l.pos"))), " ", -1).alias("tokens"))
+    with filtered_joins(docs.sparkSession):  # only texts with a wanted line are shuffled
+        variants = stage(rows, "variants").dropDuplicates(["leaf", "wording"])
     # a count at each position, formed map-side; the most frequent token of each
-    counted = variants.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("have"))
+    counted = variants.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("have"))
     top = counted.groupBy("leaf", "at").agg(F.max(F.struct("have", "token")).alias("top"), F.sum("have").alias("all"))
     constant = F.when(F.col("top.have") >= CONSTANT * F.col("all"), F.col("top.token"))
     shape = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("shape"))
     shape = shape.select("leaf", F.col("shape.token").alias("shape"))
     met = variants.join(shape, "leaf")
     agree = F.size(F.filter(F.zip_with("tokens", "shape", lambda a, b: a == b), lambda x: x))
-    return met.where(agree >= SIMILAR * F.col("n")).select("leaf", "wording", F.xxhash64(F.lit("template"), F.col("leaf")).alias("template"))
+    return met.where(agree >= SIMILAR * F.size("tokens")).select("leaf", "wording", F.xxhash64(F.lit("template"), F.col("leaf")).alias("template"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
@@ -73,13 +73,14 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 
     content is the text's hash; kept[i] tells of line i.
     """
-    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("content"), whole_text().alias("text"))
-    lines = _lines(rows).select("doc_id", "content", "pos", F.when(F.col("n") > 0, _leaf()).alias("leaf"), F.when(F.col("n") > 0, F.xxhash64("tokens")).alias("wording"))
+    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("content"), F.posexplode(F.split(_masked(whole_text()), "\n")).alias("pos", "line"))
+    rows = rows.select("doc_id", "content", "pos", F.trim("line").alias("line")).withColumn("n", _n_tokens("line"))
+    leaf = F.xxhash64("n", F.substring_index("line", " ", LEADING))
+    lines = rows.select("doc_id", "content", "pos", F.when(F.col("n") > 0, leaf).alias("leaf"), F.when(F.col("n") > 0, F.xxhash64("line")).alias("wording"))
     lines = stage(lines, "lines")
     held = lines.where("leaf is not null").groupBy("leaf", "wording", "content").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     held = stage(held, "held")
-    wordings = held.groupBy("leaf", "wording").agg(F.count("*").alias("texts"))
-    templates = stage(_templates(docs, wordings), "templates")
+    templates = stage(_templates(docs, held), "templates")
     named = held.join(templates, ["leaf", "wording"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "wording")))
     by_text = named.groupBy("template", "content").agg(F.min("first").alias("first"))
     recurring = by_text.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= MIN_DOCUMENTS)
@@ -93,29 +94,29 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return of_text.select("doc_id", "content", F.col("flags.stays").alias("kept"))
 
 
-def _decided(docs: DataFrame) -> DataFrame:
-    """docs with _kept (null: all lines stay); every column of docs is untouched."""
-    kept = stage(recurring_lines(docs), "kept-lines").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), F.col("kept").alias("_kept"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_content"))
-    return docs.join(kept, same, "left")
-
-
-def _shorter() -> Column:
-    kept = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), F.col("_kept").alias("stays")), lambda x: x["stays"])
-    return F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+def _decided(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(docs with a further column, that column: which lines stay or null for all, the
+    shortened text); the columns of docs are untouched."""
+    of_id, of_content, stays = unused(docs, "kept_of", "kept_content", "kept")
+    found = recurring_lines(docs).select(F.col("doc_id").alias(of_id), F.col("content").alias(of_content), F.col("kept").alias(stays))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64(whole_text()) == F.col(of_content))
+    kept = F.col(stays)
+    lines = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), kept.alias("stays")), lambda x: x["stays"])
+    text = F.when(kept.isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"))
+    return docs.join(stage(found, "kept-lines").hint("merge"), same, "left"), kept, text
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped), a row per row of docs."""
-    own = _decided(docs.select("doc_id", "text"))
-    n_lines = F.size(F.split(whole_text(), "\n"))
-    dropped = F.when(F.col("_kept").isNull(), 0).otherwise(F.size(F.filter("_kept", lambda x: ~x)))
-    return own.select("doc_id", _shorter().alias("text"), n_lines.alias("n_lines"), dropped.alias("n_dropped"))
+    own, kept, text = _decided(docs.select("doc_id", "text"))
+    dropped = F.when(kept.isNull(), 0).otherwise(F.size(F.filter(kept, lambda x: ~x)))
+    return own.select("doc_id", text.alias("text"), F.size(F.split(whole_text(), "\n")).alias("n_lines"), dropped.alias("n_dropped"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with their texts shortened; n_chars, where there is one, follows the text."""
-    own = _decided(docs).withColumn("text", _shorter())
+    own, kept, text = _decided(docs)
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        own = own.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return own.select(*docs.columns)
+        changed["n_chars"] = F.when(kept.isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return own.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))

@@ -25,15 +25,14 @@ without doc_id get component null and are kept. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows_of, stage, texts
+from tidemark.llm.common import filtered_joins, rows_of, stage, texts
 from tidemark.llm.graph import components
 from tidemark.llm.words import combine, hash_words, multipliers, scramble, spaced_words
 
@@ -114,22 +113,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([d for d, _ in rows], pa.int64()), _lists([shingles(t) for _, t in rows])], schema=_SETS)
 
 
-@contextmanager
-def filtered_joins(spark: SparkSession):
-    """Within, Spark filters the large side of a join by a Bloom filter of bounded size
-    (spark.sql.optimizer.runtime.bloomFilter.maxNumBits) before it shuffles."""
-    name = "spark.sql.optimizer.runtime.bloomFilter."
-    wanted = {name + "enabled": "true", name + "applicationSideScanSizeThreshold": "0", name + "creationSideThreshold": "1g"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough."""
     of = lambda end: sets.select(F.col("id").alias(end), F.col("shingles").alias(f"set_{end}"))
@@ -229,9 +212,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     in_bands = nodes.select("id", "n", F.explode("bands").alias("key"))
     with filtered_joins(spark):
         shared = stage(in_bands.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"), "keys")
-        entries = stage(in_bands.join(shared.where("low < high").select("key"), "key", "left_semi"), "entries")
+        entries = stage(in_bands.join(shared.where("low < high").select("key").hint("merge"), "key", "left_semi"), "entries")
         ids = stage(entries.select("id", "n").distinct(), "candidates")
-        sets = stage(own.join(ids.where("n > 0").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+        sets = stage(own.join(ids.where("n > 0").select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
 
     stars = None
     if not entries.isEmpty():
