@@ -144,3 +144,16 @@ def test_selection_takes_the_prefix_within_half(spark):
     files = spark.createDataFrame([(lv, i, s) for lv, i, s in ((0, 1, 9), (0, 2, 9), (1, 3, 4), (1, 4, 4), (1, 5, 1))], "level int, file_number long, size long")
     pick = lambda level, target: [r[0] for r in levels.select_files(files, level, target).orderBy("file_number").collect()]
     assert pick(0, 1) == [1, 2] and pick(1, 9) == [3] and pick(1, 16) == [3, 4] and pick(1, 2) == []
+
+
+def test_neighbours_of_binary_keys_over_many_ranges(spark):
+    keys = sorted({str(i * 7919 % 5000).encode() for i in range(900)})
+    view = spark.createDataFrame([(k,) for k in keys], "key binary")
+    got = sorted((bytes(r.key), r.prev_key and bytes(r.prev_key), r.next_key and bytes(r.next_key)) for r in scan.neighbours(view).collect())
+    assert got == list(zip(keys, [None, *keys[:-1]], [*keys[1:], None], strict=True))
+
+
+def test_sequences_over_uneven_and_empty_batches(spark):
+    batch = spark.range(3000).select((F.col("id") * F.col("id")).alias("op_index"))
+    assert [r.seq for r in versions.with_sequence(batch, 1).orderBy("op_index").collect()] == list(range(1, 3001))
+    assert versions.with_sequence(batch.limit(0), 1).count() == 0

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.keys import DELETE, PUT
+from tidemark.operators.ranges import bounds, range_of
 
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -105,14 +106,15 @@ def collect_garbage(ops: DataFrame, live: list[int], bottom: bool = False) -> Da
 def with_sequence(batch: DataFrame, base: int, order: str = "op_index") -> DataFrame:
     """batch with seq = base, base + 1, ... in the order of op_index.
 
-    Rows are sorted by ranges; each range's first number comes from the counts of the
-    ranges before, one row a partition, so no task holds the whole batch.
+    Rows are numbered within ranges; each range's first number comes from the counts of the
+    ranges before, one row a range, so no task holds the whole batch.
     """
-    spread = batch.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    counts = spread.groupBy("_part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return spread.join(before, "_part").withColumn("seq", F.lit(base) + F.col("_before") + place - 1).drop("_part", "_before")
+    ranged = batch.withColumn("_range", range_of(order, bounds(batch, order)))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.join(F.broadcast(counts), "_range").withColumn("seq", F.lit(base) + F.col("_before") + place - 1).drop("_range", "_before")
 
 
 def consecutive(batch: DataFrame, base: int, order: str = "op_index") -> DataFrame:
