@@ -241,7 +241,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns. Rows that share a
     doc_id are one document, of which one row with the least text stays."""
     removed = stage(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-removed")
-    left = docs.join(removed, "doc_id", "left_anti")
+    left = docs.join(removed.hint("merge"), "doc_id", "left_anti")
     repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if not repeated.isEmpty():
         again = left.join(repeated, "doc_id", "left_semi")
