@@ -14,12 +14,11 @@ import os
 import numpy as np
 import regex
 
-from tidemark.llm.words import Remembered
+from tidemark.llm.words import Remembered, in_use
 
 END_ID = 2
 #: Entries of a generation; see words.Remembered.
-CACHE_CHUNKS = 400_000
-CACHE_RUNS = 300_000
+CACHE_CHUNKS = 200_000
 #: The pre-tokenizer's own split; fixed values of the vocabulary file.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -38,30 +37,39 @@ def byte_alphabet() -> dict[int, int]:
 
 
 class Encoder:
-    """Ids as little-endian uint32 bytes. chunks: by the text between spaces; runs: by pre-token."""
+    """Ids as little-endian uint32 bytes, remembered by chunk (the text between spaces). A
+    chunk of several pre-tokens, or with capitals, is put together from chunks that are one
+    pre-token in lower case, which share the memory."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.alphabet = byte_alphabet()
-        self.runs = Remembered(self.run, CACHE_RUNS)
-        self.chunks = Remembered(self.chunk, CACHE_CHUNKS)
+        self.chunks = Remembered(self.chunk, remembered or CACHE_CHUNKS)
+        self.marks = {mark: self.run(mark) for mark in ".,"}
 
     def run(self, run: str) -> bytes:
         """A pre-token in lower case, by the library's model."""
         plain = run.isascii() and run.isprintable()
         seen = run if plain else run.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(seen)])
 
     def chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if max(chunk) < "ɐ" and "<|" not in chunk:
-            return b"".join(map(self.runs.__getitem__, SPLIT.findall(chunk.lower())))
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if max(chunk) >= "ɐ" or "<|" in chunk:
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        low = chunk.lower()
+        if chunk.isalpha():
+            return self.run(low) if low == chunk else self.chunks[low]
+        mark = self.marks.get(chunk[-1])
+        if mark and chunk[:-1].isalpha():
+            return self.chunks[low[:-1]] + mark
+        runs = SPLIT.findall(low)
+        return self.run(low) if runs == [chunk] else b"".join(map(self.chunks.__getitem__, runs))
 
     def ids(self, text: str) -> bytes:
         """Every id of the whole text, without special tokens and without an end id."""
@@ -71,6 +79,12 @@ class Encoder:
         return self.ids(text) + END_ID.to_bytes(4, "little")
 
 
-@functools.lru_cache(4)
-def encoder(path: str) -> Encoder:
+@functools.lru_cache(2)
+def _loaded(path: str) -> Encoder:
     return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    found = _loaded(path)
+    in_use(found.chunks)
+    return found

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Entries of a generation of a cache; bounds a worker's memory, never the results.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -29,10 +29,23 @@ class Remembered(dict):
         return value
 
 
+_USED: list[Remembered] = []
+
+
+def in_use(cache: Remembered) -> None:
+    """A worker serves one kind of task after another: only the last one's cache is kept."""
+    if not _USED or _USED[0] is not cache:
+        for other in _USED:
+            other.clear()
+            other.before = {}
+        _USED[:] = [cache]
+
+
 _HASHES = Remembered(xxhash.xxh3_64_intdigest)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
+    in_use(_HASHES)
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
