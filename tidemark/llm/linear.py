@@ -6,22 +6,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from tidemark.llm.words import Joined
+from tidemark.llm.words import CACHE_WORDS, Remembered, alnum_words, in_use
 
 #: Features; the size of a model, whatever the vocabulary.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 22
+#: A text's features are its words and, for words of one stem, the beginnings of these many
+#: bytes that at least so many different words of the text have.
+STEMS = (4, 5, 6)
+SHARED = (2, 4)
 GROUP = 200
 
 FEATURES_SCHEMA = "doc_id long, buckets array<int>"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("buckets", pa.list_(pa.int32()))])
 
 
+def _buckets(word: bytes) -> bytes:
+    parts = [word, *(word[:n] + b"-" if len(word) > n else b"-" for n in STEMS)]
+    return b"".join((xxhash.xxh3_64_intdigest(x) % BUCKETS).to_bytes(4, "little") for x in parts)
+
+
+_BUCKETS = Remembered(_buckets, CACHE_WORDS)
+
+
+def _of_text(text: str) -> np.ndarray:
+    """The distinct buckets of a whole text."""
+    found = np.frombuffer(b"".join(map(_BUCKETS.__getitem__, set(alnum_words(text)))), "<u4").reshape(-1, 1 + len(STEMS))
+    stems, counts = np.unique(found[:, 1:], return_counts=True)
+    marked = [(stems[counts >= n] + np.uint32(n)) % np.uint32(BUCKETS) for n in SHARED]
+    return np.unique(np.concatenate([found[:, 0], *marked]))
+
+
 def distinct_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text numbers, buckets), each bucket once a text: every word of the whole texts counts."""
-    joined = Joined(texts)
-    keys = np.unique(joined.owner.astype(np.uint64) << np.uint64(18) | joined.hashes & np.uint64(BUCKETS - 1))
-    return (keys >> np.uint64(18)).astype(np.int64), (keys & np.uint64(BUCKETS - 1)).astype(np.int64)
+    """(text numbers, buckets), each bucket once a text."""
+    in_use(_BUCKETS)
+    found = [_of_text(t) for t in texts]
+    doc = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+    return doc, np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A numpy logistic model over hashed words of whole texts is fitted to confirmed toxic
+A numpy logistic model over hashed words and word beginnings of whole texts is fitted to confirmed toxic
 examples P and unlabelled text U. With the share of toxic text, the prior p, the risk is
 
     p * E_P[loss(g, +)] + max(0, E_U[loss(g, -)] - p * E_P[loss(g, -)])
@@ -21,6 +21,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, texts
+from tidemark.llm.common import reach_workers, stage, texts
 from tidemark.llm.linear import BUCKETS, FEATURES_SCHEMA, GROUP, Adam, Rows, distinct_buckets, features, sigmoid
 
 MAX_POSITIVE = 4_000
@@ -36,7 +37,7 @@ MAX_UNLABELLED = 12_000
 THRESHOLD = 0.3
 #: A feature counts when its share of confirmed texts differs from its share of unlabelled
 #: texts by this many standard errors, and it is in so many confirmed texts.
-MIN_Z, MIN_TEXTS = 5.0, 5
+MIN_Z, MIN_TEXTS = 6.0, 5
 EPOCHS, STEPS, RATE = 40, 8, 0.05
 SHRINK = 1e-4
 
@@ -47,13 +48,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int = BUCKETS) -> np.ndarray:
-    """The features by which confirmed texts differ from unlabelled ones; rare ones only fit noise."""
-    in_p, in_u = (np.bincount(np.concatenate(x), minlength=size) if x else np.zeros(size) for x in (positive, unlabelled))
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
-    share = (in_p + in_u) / (n + m)
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / m))
-    return np.flatnonzero((np.abs(in_p / n - in_u / m) >= MIN_Z * error) & (in_p >= MIN_TEXTS))
+def telling(features_: DataFrame, n: int, m: int) -> DataFrame:
+    """The buckets by which n confirmed texts differ from m unlabelled ones; rare ones only
+    fit noise. Counts are formed map-side."""
+    each = features_.select("confirmed", F.explode("buckets").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count_if("confirmed").alias("p"), F.count_if(~F.col("confirmed")).alias("u"))
+    share = (F.col("p") + F.col("u")) / (n + m)
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n + 1 / m))
+    return counts.where((F.abs(F.col("p") / n - F.col("u") / m) >= MIN_Z * error) & (F.col("p") >= MIN_TEXTS)).select("bucket")
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int) -> tuple[np.ndarray, float]:
@@ -81,63 +83,81 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return w[:size], float(w[size])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+@dataclass(frozen=True)
+class Model:
+    """The weights of some buckets; all others weigh nothing."""
+
+    buckets: np.ndarray
+    weights: np.ndarray
+    intercept: float
+
+    def scores(self, texts_: list[str], dense: np.ndarray) -> np.ndarray:
+        doc, bucket = distinct_buckets(texts_)
+        return sigmoid(np.bincount(doc, dense[bucket], minlength=len(texts_)) + self.intercept)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(BUCKETS, np.float32)
+        out[self.buckets] = self.weights
+        return out
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model for these documents and labels; the sample's bound is the broadcast's."""
-    spark = docs.sparkSession
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out())
     prior, n = known.agg(F.avg("toxic"), F.sum("toxic")).first()
+    nothing = Model(np.empty(0, np.int64), np.empty(0), -np.inf)
     if not n:
-        return np.zeros(BUCKETS), -np.inf
+        return nothing
     by_hash = F.xxhash64("doc_id")
     p = known.where("toxic = 1").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(MAX_POSITIVE).withColumn("confirmed", F.lit(True))
     u = docs.select("doc_id").where("doc_id is not null").where(~held_out()).orderBy(by_hash, "doc_id").limit(MAX_UNLABELLED).distinct().withColumn("confirmed", F.lit(False))
     chosen = stage(p.unionByName(u), "toxic-sample")
     picked = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     found = stage(picked.mapInArrow(features, FEATURES_SCHEMA), "toxic-features").dropDuplicates(["doc_id"])
-    rows = found.join(F.broadcast(chosen), "doc_id").select("doc_id", "confirmed", "buckets").toArrow()
-    lists = rows.column("buckets").combine_chunks()
-    values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    confirmed, order = rows.column("confirmed").to_numpy(), np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    of = lambda kind: [values[ends[i] : ends[i + 1]] for i in order if confirmed[i] == kind]
-    positive, unlabelled = of(True), of(False)
-    chosen_buckets = telling(positive, unlabelled)
-    place = np.full(BUCKETS, -1)
-    place[chosen_buckets] = np.arange(len(chosen_buckets))
-    narrowed = lambda lists: [x[x >= 0] for x in (place[y] for y in lists)]
-    w, intercept = fit_nnpu(narrowed(positive), narrowed(unlabelled), min(max(prior, 1e-4), 0.5), len(chosen_buckets))
-    weights = np.zeros(BUCKETS)
-    weights[chosen_buckets] = w
-    return weights, intercept
-
-
-def scores(texts_: list[str], weights: np.ndarray, intercept: float) -> np.ndarray:
-    doc, bucket = distinct_buckets(texts_)
-    return sigmoid(np.bincount(doc, weights[bucket], minlength=len(texts_)) + intercept)
-
-
-def _scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
+    found = stage(found.join(F.broadcast(chosen), "doc_id"), "toxic-rows")
+    n, m = found.agg(F.count_if("confirmed"), F.count_if(~F.col("confirmed"))).first()
+    if not n or not m:
+        return nothing
+    kept = stage(telling(found, n, m), "toxic-buckets")
+    buckets = np.sort(kept.toArrow().column("bucket").to_numpy())  # at most BUCKETS numbers
+    each = found.select("doc_id", "confirmed", F.explode("buckets").alias("bucket")).join(kept, "bucket")
+    rows = each.groupBy("doc_id", "confirmed").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).orderBy("confirmed", "doc_id").toArrow()
+    lists = rows.column("buckets").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    places = np.searchsorted(buckets, lists.flatten().to_numpy(zero_copy_only=False))
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    confirmed = rows.column("confirmed").to_numpy()
+
+    def of(kind: bool, size: int) -> list[np.ndarray]:
+        held = [places[ends[i] : ends[i + 1]] for i in np.flatnonzero(confirmed == kind)]
+        return held + [np.empty(0, np.int64)] * (size - len(held))
+
+    w, intercept = fit_nnpu(of(True, n), of(False, m), min(max(prior, 1e-4), 0.5), len(buckets))
+    return Model(buckets, w, intercept)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    dense = model.dense()
     for whole in batches:
         for start in range(0, whole.num_rows, GROUP):
             part = whole.slice(start, GROUP)
-            yield pa.record_batch([part.column("doc_id"), pa.array(scores(part.column("text").to_pylist(), weights, intercept))], schema=_SCORED)
+            yield pa.record_batch([part.column("doc_id"), pa.array(model.scores(part.column("text").to_pylist(), dense))], schema=_SCORED)
 
 
-def _accepted(batches: Iterator[pa.RecordBatch], weights: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
+def _accepted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    dense = model.dense()
     for whole in batches:
         for start in range(0, whole.num_rows, GROUP):
             part = whole.slice(start, GROUP)
-            got = scores([t or "" for t in part.column("text").to_pylist()], weights, intercept)
-            yield part.filter(pa.array(got < THRESHOLD))
+            yield part.filter(pa.array(model.scores([t or "" for t in part.column("text").to_pylist()], dense) < THRESHOLD))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """What query op8 returns: a row for each row of docs."""
-    weights, intercept = fit(docs, labels)
-    scored = texts(docs).mapInArrow(partial(_scored, weights=weights.astype(np.float32), intercept=intercept), "doc_id long, score double")
+    scored = texts(docs).mapInArrow(partial(_scored, model=fit(docs, labels)), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject, with all their columns."""
-    weights, intercept = fit(docs, labels)
-    return docs.mapInArrow(partial(_accepted, weights=weights.astype(np.float32), intercept=intercept), docs.schema)
+    reach_workers(docs.sparkSession)
+    return docs.mapInArrow(partial(_accepted, model=fit(docs, labels)), docs.schema)
