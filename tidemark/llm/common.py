@@ -37,8 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system named, as Spark resolves it, so that Python finds it too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full if "://" in full else full.replace("file:/", "file:///", 1)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

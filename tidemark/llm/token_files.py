@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path, rows_of, stage, texts
+from tidemark.llm.common import fresh_path, qualified, rows_of, stage, texts
 from tidemark.llm.tokens import default_path, encoder
 
 SEQUENCE_TOKENS = 2048
@@ -161,8 +161,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, length: in
 
 def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, length: int = SEQUENCE_TOKENS) -> DataFrame:
     """Write the files; return their manifest, with `base`, the ids of all files before."""
-    folder = folder or fresh_path(docs.sparkSession, "token-files")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = qualified(docs.sparkSession, folder) if folder else fresh_path(docs.sparkSession, "token-files")
     write = partial(_write, folder=folder, path=tokenizer or default_path(), length=length)
     dealt = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = stage(dealt.mapInArrow(write, FILE_SCHEMA), "token-manifest")
