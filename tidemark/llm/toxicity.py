@@ -34,6 +34,8 @@ from tidemark.llm.linear import BUCKETS, FEATURES_SCHEMA, GROUP, Adam, Rows, dis
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
+#: Files of a table that the two bounds above keep small.
+SAMPLE_FILES = 8
 THRESHOLD = 0.3
 #: A feature counts when its share of confirmed texts differs from its share of unlabelled
 #: texts by this many standard errors, and it is in so many confirmed texts.
@@ -114,11 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = stage(p.unionByName(u), "toxic-sample")
     picked = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     found = stage(picked.mapInArrow(features, FEATURES_SCHEMA), "toxic-features").dropDuplicates(["doc_id"])
-    found = stage(found.join(F.broadcast(chosen), "doc_id"), "toxic-rows")
+    found = stage(found.join(F.broadcast(chosen), "doc_id").coalesce(SAMPLE_FILES), "toxic-rows")
     n, m = found.agg(F.count_if("confirmed"), F.count_if(~F.col("confirmed"))).first()
     if not n or not m:
         return nothing
-    kept = stage(telling(found, n, m), "toxic-buckets")
+    kept = stage(telling(found, n, m).coalesce(SAMPLE_FILES), "toxic-buckets")
     buckets = np.sort(kept.toArrow().column("bucket").to_numpy())  # at most BUCKETS numbers
     each = found.select("doc_id", "confirmed", F.explode("buckets").alias("bucket")).join(kept, "bucket")
     rows = each.groupBy("doc_id", "confirmed").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).orderBy("confirmed", "doc_id").toArrow()
