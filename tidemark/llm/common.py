@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _OWN: dict[str, str] = {}
+#: Bytes of an Arrow batch to or from a Python worker.
+BATCH_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,11 +79,13 @@ def filtered_joins(spark: SparkSession):
 
 
 def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package even when the driver runs in another folder."""
+    """Let Python workers import this package even when the driver runs in another folder, and
+    keep Arrow batches small: texts are long, and each task holds a batch on either side."""
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def whole_text(column: str = "text") -> Column:
