@@ -195,6 +195,14 @@ def test_templates_generalise(spark):
     assert math.isclose(got[5].n_lines, 5)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_several_templates_in_one_leaf(spark, n):
+    words = ["was sent home after lunch", "has left without any notice", "did open every locked door", "will write more letters soon", "cannot find his old hat"][:n]
+    rows = [(100 * k + i, f"text {chr(97 + k)} {chr(97 + i)} alone\nthe old man {chr(97 + i) * 3} {said}") for k, said in enumerate(words) for i in range(20)]
+    got = {r.doc_id: r for r in line_templates.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, r in got.items() if r.n_dropped == 0} == {100 * k for k in range(n)} and all(r.n_dropped <= 1 for r in got.values())
+
+
 def test_line_dedup_is_native(docs):
     assert "Python" not in line_templates.line_dedup(docs)._jdf.queryExecution().toString()
 

@@ -5,8 +5,10 @@ a digit is the variable <*>. Its leaf in the tree is its token count and its LEA
 one leaf whose other tokens differ may be one template with more variable fields: where a
 leaf has several wordings and is in MIN_DOCUMENTS texts or more, each position's most
 frequent token stays constant if at least CONSTANT of the wordings have it, and wordings
-that agree with the constants at SIMILAR of all positions are that template. All other
-wordings are templates of their own.
+that agree with the constants at SIMILAR of all positions are that template. The leaf's
+other wordings have templates of their own: of the positions after the leading tokens each
+keeps the SIMILAR share whose tokens most of these wordings have, and wordings that keep the
+same tokens at the same positions are one template, however many templates the leaf holds.
 
 A template in MIN_DOCUMENTS or more different texts (exact copies count once) recurs: its
 lines are dropped, but for its first line in the text with the least doc_id, so that no
@@ -65,7 +67,19 @@ def _templates(docs: DataFrame, held: DataFrame) -> DataFrame:
     shape = shape.select("leaf", F.col("shape.token").alias("shape"))
     met = variants.join(shape, "leaf")
     agree = F.size(F.filter(F.zip_with("tokens", "shape", lambda a, b: a == b), lambda x: x))
-    return met.where(agree >= SIMILAR * F.size("tokens")).select("leaf", "wording", F.xxhash64(F.lit("template"), F.col("leaf")).alias("template"))
+    met = stage(met.select("leaf", "wording", "tokens", (agree >= SIMILAR * F.size("tokens")).alias("taken")), "met")
+    one = met.where("taken").select("leaf", "wording", F.xxhash64(F.lit("template"), F.col("leaf")).alias("template"))
+    return one.unionByName(_further(met.where("not taken")))
+
+
+def _further(rest: DataFrame) -> DataFrame:
+    """(leaf, wording, template) for wordings (leaf, wording, tokens) that the leaf's first template leaves out."""
+    at = rest.select("leaf", "wording", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= LEADING)
+    have = at.groupBy("leaf", "at", "token").agg(F.count("*").alias("have"))
+    ranked = at.join(have, ["leaf", "at", "token"]).groupBy("leaf", "wording").agg(F.sort_array(F.collect_list(F.struct((-F.col("have")).alias("rank"), "at", "token"))).alias("all"))
+    most = F.slice("all", 1, F.ceil(SIMILAR * F.size("all")).cast("int"))
+    kept = F.sort_array(F.transform(most, lambda x: F.struct(x["at"], x["token"])))
+    return ranked.select("leaf", "wording", F.xxhash64(F.lit("further"), F.col("leaf"), kept).alias("template"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
