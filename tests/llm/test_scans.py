@@ -203,6 +203,14 @@ def test_several_templates_in_one_leaf(spark, n):
     assert {d for d, r in got.items() if r.n_dropped == 0} == {100 * k for k in range(n)} and all(r.n_dropped <= 1 for r in got.values())
 
 
+def test_different_short_lines_stay(spark):
+    names = "ant bat cat dog eel fox gnu hen ibex jay kite lynx".split()
+    rows = [(i, f"It is a {x}\nIt is a big {x}\n{i} {i + 7} {i * 3}\n{1990 + i}\nPage {i}\n<*> {i} 5 6 {x} 7\n2024 12\nuser {i} has logged in") for i, x in enumerate(names)]
+    got = {r.doc_id: r.text.split("\n") for r in line_templates.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1].split("\n")
+    assert all(got[i] == rows[i][1].split("\n")[:6] for i in range(1, len(rows)))
+
+
 def test_line_dedup_is_native(docs):
     assert "Python" not in line_templates.line_dedup(docs)._jdf.queryExecution().toString()
 

@@ -5,10 +5,14 @@ a digit is the variable <*>. Its leaf in the tree is its token count and its LEA
 one leaf whose other tokens differ may be one template with more variable fields: where a
 leaf has several wordings and is in MIN_DOCUMENTS texts or more, each position's most
 frequent token stays constant if at least CONSTANT of the wordings have it, and wordings
-that agree with the constants at SIMILAR of all positions are that template. The leaf's
+that agree with the constants at SIMILAR of the positions after the leading tokens, which
+all of them share anyway, are that template. The leaf's
 other wordings have templates of their own: of the positions after the leading tokens each
 keeps the SIMILAR share whose tokens most of these wordings have, and wordings that keep the
 same tokens at the same positions are one template, however many templates the leaf holds.
+A template of differing wordings has WORDS constant words or more after the leading tokens,
+a word being a token with a letter; a line with a variable and fewer words than WORDS in all
+(a number, a table's row of numbers, a page number) is a template only with its equals.
 
 A template in MIN_DOCUMENTS or more different texts (exact copies count once) recurs: its
 lines are dropped, but for its first line in the text with the least doc_id, so that no
@@ -32,6 +36,10 @@ LEADING = 3
 MIN_DOCUMENTS = 10
 CONSTANT = 0.5
 SIMILAR = 0.6
+WORDS = 2
+LETTER = r"\p{L}"
+#: WORDS words in a masked line: anchored and without giving back, so in time linear in the line.
+ENOUGH = rf"^(?:[^\p{{L}}]*+\p{{L}}[^ ]*+){{{WORDS}}}"
 #: From the start of a token only, and without giving back, so in time linear in the text.
 VARIABLE = r"(?<![^ \n])[^ 0-9\n]*+[0-9][^ \n]*+"
 
@@ -44,6 +52,10 @@ def _n_tokens(line: str) -> Column:
     return F.when(F.col(line) == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1)
 
 
+def _worded(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda x: x.rlike(LETTER))) >= WORDS
+
+
 def _templates(docs: DataFrame, held: DataFrame) -> DataFrame:
     """(leaf, wording, template) for the wordings that a leaf's template takes in.
 
@@ -66,8 +78,10 @@ def _templates(docs: DataFrame, held: DataFrame) -> DataFrame:
     shape = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("shape"))
     shape = shape.select("leaf", F.col("shape.token").alias("shape"))
     met = variants.join(shape, "leaf")
-    agree = F.size(F.filter(F.zip_with("tokens", "shape", lambda a, b: a == b), lambda x: x))
-    met = stage(met.select("leaf", "wording", "tokens", (agree >= SIMILAR * F.size("tokens")).alias("taken")), "met")
+    agreed = F.zip_with("tokens", "shape", lambda a, b: F.when(a == b, a))
+    agreed = F.filter(agreed, lambda x, i: (i >= LEADING) & x.isNotNull())
+    taken = (F.size(agreed) >= SIMILAR * (F.size("tokens") - LEADING)) & _worded(agreed)
+    met = stage(met.select("leaf", "wording", "tokens", taken.alias("taken")), "met")
     one = met.where("taken").select("leaf", "wording", F.xxhash64(F.lit("template"), F.col("leaf")).alias("template"))
     return one.unionByName(_further(met.where("not taken")))
 
@@ -79,6 +93,7 @@ def _further(rest: DataFrame) -> DataFrame:
     ranked = at.join(have, ["leaf", "at", "token"]).groupBy("leaf", "wording").agg(F.sort_array(F.collect_list(F.struct((-F.col("have")).alias("rank"), "at", "token"))).alias("all"))
     most = F.slice("all", 1, F.ceil(SIMILAR * F.size("all")).cast("int"))
     kept = F.sort_array(F.transform(most, lambda x: F.struct(x["at"], x["token"])))
+    ranked = ranked.where(_worded(F.transform(most, lambda x: x["token"])))
     return ranked.select("leaf", "wording", F.xxhash64(F.lit("further"), F.col("leaf"), kept).alias("template"))
 
 
@@ -87,10 +102,13 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 
     content is the text's hash; kept[i] tells of line i.
     """
-    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("content"), F.posexplode(F.split(_masked(whole_text()), "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "content", "pos", F.trim("line").alias("line")).withColumn("n", _n_tokens("line"))
+    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("content"), F.posexplode(F.arrays_zip(F.split(_masked(whole_text()), "\n").alias("line"), F.split(whole_text(), "\n").alias("raw"))).alias("pos", "of"))
+    rows = rows.select("doc_id", "content", "pos", F.trim("of.line").alias("line"), F.trim("of.raw").alias("raw")).withColumn("n", _n_tokens("line"))
     leaf = F.xxhash64("n", F.substring_index("line", " ", LEADING))
-    lines = rows.select("doc_id", "content", "pos", F.when(F.col("n") > 0, leaf).alias("leaf"), F.when(F.col("n") > 0, F.xxhash64("line")).alias("wording"))
+    # without enough words a line stands in a leaf of its own
+    alone = F.when(F.col("line").contains("<*>") & ~F.col("line").rlike(ENOUGH), F.xxhash64(F.lit("alone"), F.col("raw")))
+    rows = rows.select("doc_id", "content", "pos", "n", leaf.alias("leaf"), F.xxhash64("line").alias("wording"), alone.alias("alone"))
+    lines = rows.select("doc_id", "content", "pos", *(F.when(F.col("n") > 0, F.coalesce("alone", c)).alias(c) for c in ("leaf", "wording")))
     lines = stage(lines, "lines")
     held = lines.where("leaf is not null").groupBy("leaf", "wording", "content").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     held = stage(held, "held")
