@@ -1,11 +1,12 @@
 """The store: writes, snapshots, flushes, compaction, reopening, against a dict of versions."""
 
 import random
+from dataclasses import asdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.manifest import Folder
+from tidemark.plans.manifest import File, Folder
 from tidemark.plans.options import BatchCommitted, Conflict, Corrupted, Options, ReadOnly, StoreClosed, StoreError
 from tidemark.plans.store import Batch, Store
 
@@ -174,3 +175,98 @@ def test_files_are_sorted_and_have_bloom_filters(spark, root, tmp_path):
     part = next((tmp_path / "db" / new.path).glob("*.parquet"))
     keys = pq.read_table(part).column("key").to_pylist()
     assert keys == sorted(keys) and (new.smallest, new.largest, new.entries) == (b"k00".hex(), b"k49".hex(), 50)
+
+
+def test_a_deleted_key_stays_deleted_when_an_older_version_is_shallower(spark, root):
+    store = Store.open(spark, root)
+    store.put(b"b", b"v1")
+    store.flush()
+    store.put(b"a", b"v2")
+    store.delete(b"b")
+    store.flush()
+    store.compact_range(0, b"a", b"a")
+    assert store.get(b"b") is None
+    store.compact_range(1, b"a", b"a")
+    assert store.get(b"b") is None and visible(store) == {b"a": b"v2"}
+
+
+def test_a_deletion_waits_for_an_older_file_that_is_left_out(spark, root):
+    """Deep in the tree, with the older version in a file of a level above."""
+    store = Store.open(spark, root)
+    store.put(b"b", b"old")
+    older = store.flush()
+    store.delete(b"b")
+    store.put(b"c", b"x")
+    newer = store.flush()
+    files = [f if f.file_number == older.file_number else File(**asdict(f) | {"level": 2}) for f in store.manifest.files]
+    store._publish(files=files)
+    store.compact_range(2, b"c", b"c")
+    assert store.get(b"b") is None and store.ops().where("kind = 0").count() == 1 and newer.file_number != older.file_number
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_writes_flushes_and_range_compactions(spark, root, seed):
+    rng, keys = random.Random(seed), [bytes([97 + i]) for i in range(6)]
+    store, held, frozen = Store.open(spark, root, Options(file_bytes=700)), {}, {}
+    for step in range(13):
+        what = rng.random()
+        if what < 0.45:
+            batch = Batch()
+            for k in rng.sample(keys, rng.randint(1, 3)):
+                if rng.random() < 0.45:
+                    batch.delete(k)
+                    held.pop(k, None)
+                else:
+                    held[k] = f"{step}".encode()
+                    batch.put(k, held[k])
+            store.write(batch)
+        elif what < 0.6:
+            store.flush()
+        elif what < 0.66 and not frozen:
+            frozen[store.snapshot()] = dict(held)
+        else:
+            low, high = sorted(rng.sample(keys, 2))
+            store.compact_range(rng.randint(0, 3), low, high)
+        if step % 5 == 4:
+            assert visible(store) == held
+    assert visible(store) == held
+    for s, want in frozen.items():
+        assert visible(store, s) == want
+
+
+def test_large_outputs_become_several_files(spark, root):
+    store = Store.open(spark, root, Options(file_bytes=2000, partitions=2))
+    rows = spark.range(400).select(F.col("id").alias("op_index"), F.format_string("k%03d", (F.col("id") * 7) % 400).alias("key"), F.lit(1).alias("kind"), F.lit("value").alias("value"))
+    store.load(rows)
+    store.flush()
+    files = sorted(store.manifest.files, key=lambda f: f.smallest)
+    assert len(files) > 2 and sum(f.entries for f in files) == 400 and len({f.file_number for f in files}) == len(files)
+    assert all(a.largest < b.smallest for a, b in zip(files, files[1:], strict=False))
+    store.compact_range(0, b"k000", b"k001")
+    assert {f.level for f in store.manifest.files} == {0, 1} and len(visible(store)) == 400
+    assert store.manifest.next_file > max(f.file_number for f in store.manifest.files)
+
+
+def test_readers_outlive_compaction_until_the_vacuum(spark, root, tmp_path):
+    store = Store.open(spark, root)
+    store.put(b"a", b"1")
+    store.flush()
+    store.put(b"b", b"2")
+    before = store.view()
+    store.force_compact()
+    assert {bytes(r.key) for r in before.collect()} == {b"a", b"b"}
+    assert store.vacuum() == 0 and store.summary()["retired"] > 0
+    assert store.vacuum(0.0) > 0 and store.manifest.retired == [] and visible(store) == {b"a": b"1", b"b": b"2"}
+
+
+def test_counters(spark, root):
+    store = Store.open(spark, root)
+    store.put(b"a", b"1")
+    store.flush()
+    store.put(b"z", b"1")
+    store.flush()
+    store.get(b"a")
+    store.view()
+    got = store.summary()
+    assert (got["reads"], got["writes"], got["files_opened"], got["files_skipped"]) == (2, 2, 1, 1)
+    assert (got["bloom_filters"], got["bloom_keys"]) == (2, 2) and got["bloom_bytes"] == 2 * (2 + 20) and 0 < got["bloom_error"] < 0.02

@@ -42,4 +42,8 @@ class Options:
     level_multiplier: int = sizing.LEVEL_MULTIPLIER
     bloom: bool = True
     bloom_error: float = sizing.FALSE_POSITIVES
+    #: Part files of a table file, and bytes after which a flush or compaction starts another one.
     partitions: int = 1
+    file_bytes: int = 256 << 20
+    #: Seconds that replaced data stays for readers that began before.
+    retention: float = 3600.0
