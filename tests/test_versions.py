@@ -157,3 +157,32 @@ def test_sequences_over_uneven_and_empty_batches(spark):
     batch = spark.range(3000).select((F.col("id") * F.col("id")).alias("op_index"))
     assert [r.seq for r in versions.with_sequence(batch, 1).orderBy("op_index").collect()] == list(range(1, 3001))
     assert versions.with_sequence(batch.limit(0), 1).count() == 0
+
+
+def test_numbers_and_neighbours_over_many_ranges(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("op_index"), F.lit(1).alias("_x"))
+    got = {r.op_index: r.seq for r in versions.with_sequence(rows.repartition(7), 10).collect()}
+    assert got == {i: 10 + i for i in range(5000)}
+    view = rows.select((F.col("op_index") * 2).alias("key"))
+    assert sorted(tuple(r) for r in scan.neighbours(view).collect())[:2] == [(0, None, 2), (2, 0, 4)] and scan.neighbours(view).where("prev_key is null or next_key is null").count() == 2
+
+
+def test_the_last_write_of_an_equal_internal_key_holds(spark):
+    log = spark.createDataFrame([(b"a", 1, 1, b"x", 1), (b"a", 1, 1, b"z", 3), (b"a", 1, 1, b"y", 2), (b"a", 1, 0, None, 4)], OPS + ", written long")
+    got = {(bytes(r.key), r.seq, r.kind): r.value for r in versions.last_written(log, "written").collect()}
+    assert got == {(b"a", 1, 1): b"z", (b"a", 1, 0): None}
+
+
+@pytest.mark.parametrize("limit", [1, 1 << 20])
+def test_range_joins_small_and_large(spark, monkeypatch, limit):
+    monkeypatch.setattr(levels.broadcast_if_small, "__defaults__", (limit,))
+    files = [(i, (i * 37) % 200 if i % 9 else None, (i * 37) % 200 + i % 30 if i % 11 else None) for i in range(80)]
+    ranges = [(i, (i * 53) % 220 - 10 if i % 5 else None, (i * 53) % 220 if i % 7 else None) for i in range(40)]
+    f, r = spark.createDataFrame(files, "file_number int, smallest long, largest long"), spark.createDataFrame(ranges, "range_id int, start_key long, end_key long")
+    low, high = (lambda x: -1e9 if x is None else x), (lambda x: 1e9 if x is None else x)
+    want = {(q, n) for q, s, e in ranges for n, a, b in files if low(a) <= high(e) and high(b) >= low(s)}
+    got = [tuple(x) for x in levels.files_for_ranges(f, r).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    keys = spark.createDataFrame([(k,) for k in [*range(-5, 260, 3), None]], "key long")
+    near = [tuple(x) for x in levels.near_ranges(keys, f).collect()]
+    assert len(near) == len(set(near)) and set(near) == {(n, k) for (k,) in keys.collect() if k is not None for n, a, b in files if low(a) <= k <= high(b)}

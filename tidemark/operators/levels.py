@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import sizing
+from tidemark.operators.ranges import bounds, range_of
 
 
 def overlaps(smallest: Column, largest: Column, start: Column, end: Column) -> Column:
@@ -16,10 +17,39 @@ def overlaps(smallest: Column, largest: Column, start: Column, end: Column) -> C
     return (smallest.isNull() | end.isNull() | (smallest <= end)) & (largest.isNull() | start.isNull() | (largest >= start))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many (narrow) rows; otherwise as it is,
-    and Spark deals both sides of the join out."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes up to which one side of a range join is sent to every task, and compared row by row.
+SMALL_BYTES = 1 << 20
+
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame | None:
+    """df marked for broadcast if its rows have at most so many bytes, else None.
+
+    Counted, since the planner's estimate may come from compressed files: 16 bytes a column
+    and the bytes of strings, over one row more than could fit at most.
+    """
+    rows = most // (16 * len(df.columns))
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    held = df.limit(rows + 1).agg(F.count("*"), F.sum(sum(wide, F.lit(16 * len(df.columns))))).first()
+    return F.broadcast(df) if held[0] <= rows and (held[1] or 0) <= most else None
+
+
+def near_ranges(keys: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_number, key): each of the distinct keys (key) with the files whose closed range
+    (smallest, largest, nulls open) holds it. Few files are broadcast; many are dealt out by
+    the slices of the key space that they meet, so no side is repeated to all tasks."""
+    ranges = files.select("file_number", "smallest", "largest")
+    within = overlaps(F.col("smallest"), F.col("largest"), F.col("key"), F.col("key")) & F.col("key").isNotNull()
+    small = broadcast_if_small(ranges)
+    return keys.join(small, within).select("file_number", "key") if small is not None else sliced_join(keys, ranges, within)
+
+
+def sliced_join(keys: DataFrame, ranges: DataFrame, within: Column) -> DataFrame:
+    """The same by slices: a key lies in one slice, a range in all that it meets."""
+    limits = bounds(keys, "key")
+    first = F.when(F.col("smallest").isNull(), 0).otherwise(range_of("smallest", limits))
+    last = F.when(F.col("largest").isNull(), len(limits)).otherwise(range_of("largest", limits))
+    met = ranges.withColumn("_slice", F.explode(F.sequence(first, F.greatest(first, last))))
+    return keys.withColumn("_slice", range_of("key", limits)).join(met.hint("merge"), "_slice").where(within).select("file_number", "key")
 
 
 def files_in_range(files: DataFrame, level: int | None = None, start=None, end=None) -> DataFrame:
@@ -29,9 +59,23 @@ def files_in_range(files: DataFrame, level: int | None = None, start=None, end=N
 
 
 def files_for_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(range_id, file_number) for each of a stated set of ranges (range_id, start_key, end_key)."""
+    """(range_id, file_number) for each of a stated set of ranges (range_id, start_key, end_key).
+
+    A small side is broadcast. Otherwise both are dealt out by the slices of the key space that
+    they meet, and a pair is reported in the first slice that both meet.
+    """
     hit = overlaps(F.col("smallest"), F.col("largest"), F.col("start_key"), F.col("end_key"))
-    return files.join(broadcast_if_small(ranges), hit).select("range_id", "file_number")
+    asked, own = ranges.select("range_id", "start_key", "end_key"), files.select("file_number", "smallest", "largest")
+    small = broadcast_if_small(asked)
+    if small is not None:
+        return own.join(small, hit).select("range_id", "file_number")
+    small = broadcast_if_small(own)
+    if small is not None:
+        return asked.join(small, hit).select("range_id", "file_number")
+    limits = bounds(own.withColumnRenamed("smallest", "key"), "key")
+    spread = lambda df, a, b: df.withColumn("_from", F.when(F.col(a).isNull(), 0).otherwise(range_of(a, limits))).withColumn("_slice", F.explode(F.sequence("_from", F.greatest(F.col("_from"), F.when(F.col(b).isNull(), len(limits)).otherwise(range_of(b, limits))))))
+    a, b = spread(own, "smallest", "largest"), spread(asked, "start_key", "end_key").withColumnRenamed("_from", "_start")
+    return a.join(b.hint("merge"), "_slice").where(hit & (F.col("_slice") == F.greatest("_from", "_start"))).select("range_id", "file_number")
 
 
 def key_range(rows: DataFrame) -> DataFrame:

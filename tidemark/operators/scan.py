@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import bounds, range_of
+from tidemark.operators.ranges import sorted_ranges
 from tidemark.operators.versions import merged
 
 
@@ -48,11 +48,11 @@ def neighbours(view: DataFrame) -> DataFrame:
     Ranges are sorted apart; a range's outer neighbours are its border rows' in a table of
     one row a range, so the one window without a key sees ranges, not keys.
     """
-    ranged = view.select("key").withColumn("_range", range_of("key", bounds(view, "key")))
-    inside = Window.partitionBy("_range").orderBy("key")
+    ranged = sorted_ranges(view.select("key"), "key", "neighbours")
+    inside = Window.partitionBy("_range").orderBy("_row")
     rows = ranged.select("key", "_range", F.lag("key").over(inside).alias("prev_key"), F.lead("key").over(inside).alias("next_key"))
     ends = ranged.groupBy("_range").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    along = Window.orderBy("low")
+    along = Window.orderBy("_range")
     ends = ends.select("_range", F.lag("high").over(along).alias("_before"), F.lead("low").over(along).alias("_after"))
     return rows.join(F.broadcast(ends), "_range").select("key", F.coalesce("prev_key", "_before").alias("prev_key"), F.coalesce("next_key", "_after").alias("next_key"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.keys import DELETE, PUT
-from tidemark.operators.ranges import bounds, range_of
+from tidemark.operators.ranges import sorted_ranges
 
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -22,7 +22,8 @@ def newest(ops: DataFrame, *by: str) -> DataFrame:
     """The newest version for each value of the columns `by`.
 
     Values of fixed width are reduced by hash aggregation with partial sums map-side; others
-    by a window whose group limit keeps one row a key before the shuffle.
+    by a window whose group limit keeps one row a key before the shuffle. (key, seq) names one
+    version; where a log may repeat it, last_written() says which write holds.
     """
     fixed = all(isinstance(ops.schema[c].dataType, _FIXED) for c in ("kind", "value") if not isinstance(ops.schema[c].dataType, T.DecimalType))
     if fixed:
@@ -106,15 +107,21 @@ def collect_garbage(ops: DataFrame, live: list[int], bottom: bool = False) -> Da
 def with_sequence(batch: DataFrame, base: int, order: str = "op_index") -> DataFrame:
     """batch with seq = base, base + 1, ... in the order of op_index.
 
-    Rows are numbered within ranges; each range's first number comes from the counts of the
-    ranges before, one row a range, so no task holds the whole batch.
+    Rows are numbered within sorted ranges; each range's first number comes from the counts of
+    the ranges before, one row a range, so no task holds the whole batch and none is counted twice.
     """
-    ranged = batch.withColumn("_range", range_of(order, bounds(batch, order)))
+    ranged = sorted_ranges(batch, order, "batch")
     counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.join(F.broadcast(counts), "_range").withColumn("seq", F.lit(base) + F.col("_before") + place - 1).drop("_range", "_before")
+    return ranged.join(F.broadcast(counts), "_range").withColumn("seq", F.lit(base) + F.col("_before") + F.col("_row")).select(*batch.columns, "seq")
+
+
+def last_written(ops: DataFrame, written: str) -> DataFrame:
+    """ops (key, seq, kind, value) without those that a later write of the same (key, seq, kind)
+    replaced; the column `written` orders writes. Nothing else about ops needs them unique."""
+    place = F.row_number().over(Window.partitionBy("key", "seq", "kind").orderBy(F.desc(written)))
+    return ops.withColumn("_place", place).where("_place = 1").select("key", "seq", "kind", "value")
 
 
 def consecutive(batch: DataFrame, base: int, order: str = "op_index") -> DataFrame:

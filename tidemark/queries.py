@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys, sizing
 from tidemark.operators import blocks, bloom, levels, scan, versions
-from tidemark.sources import names, tables
+from tidemark.plans.options import Options
+from tidemark.plans.store import Store
+from tidemark.sources import log_files, names, tables
+from tidemark.sources.shared import fresh_path, stage
 
 SNAPSHOT = 2500
 SNAPSHOTS = [100, 2500, 5000]
@@ -345,40 +348,90 @@ def _file_keys(spark, sf_dir) -> DataFrame:
 @query("SELECT event_id // 500 + 1 AS file_number, count(DISTINCT user_id) AS probes, CAST(0 AS BIGINT) AS false_negatives FROM events GROUP BY 1")
 def kv_bloom_probe(spark, sf_dir):
     """Every stored key is found: no filter has a false negative."""
-    stored = _file_keys(spark, sf_dir)
-    return bloom.may_contain(bloom.build(stored), stored).groupBy("file_number").agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("false_negatives"))
+    stored = stage(_file_keys(spark, sf_dir), "file-keys")
+    return bloom.may_contain(stage(bloom.build(stored), "filters"), stored).groupBy("file_number").agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("false_negatives"))
 
 
 @query("SELECT count(DISTINCT user_id) AS probes, CAST(0 AS BIGINT) AS false_negatives FROM events")
 def kv_bloom_merge(spark, sf_dir):
     """Filters of one size merged: what was in either is found."""
-    stored = _file_keys(spark, sf_dir)
-    shape = stored.select("file_number", "key").withColumn("m", F.lit(1 << 16).cast("long")).withColumn("k", F.lit(5))
-    counts = stored.groupBy("file_number").agg(F.count("*").alias("key_count"))
-    filters = shape.join(counts, "file_number").withColumn("bit", F.explode(bloom.positions(F.col("key"), F.col("m"), F.col("k")))).drop("key").distinct()
+    stored = stage(_file_keys(spark, sf_dir), "file-keys")
+    shapes = stored.groupBy("file_number").agg(F.count("*").alias("key_count"), F.lit(1 << 16).cast("long").alias("m"), F.lit(5).alias("k"))
     probes = stored.select(F.lit(0).alias("file_number"), "key").distinct()
-    return bloom.may_contain(bloom.merge(filters, 0), probes).agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("false_negatives"))
+    return bloom.may_contain(stage(bloom.merge(stage(bloom.build_sized(stored, shapes), "filters"), 0), "merged"), probes).agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("false_negatives"))
 
 
-@query()
+def _md5(number: int) -> str:
+    return f"CAST('0x' || substr(md5('{number}:' || CAST(key AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
+_LN2 = "pow(ln(2), 2)"
+_FILTERS = f"""stored AS (SELECT DISTINCT event_id // 500 + 1 AS file_number, user_id AS key FROM events),
+counted AS (SELECT file_number, count(*) AS key_count FROM stored GROUP BY 1),
+with_m AS (SELECT *, CAST(ceil(-key_count * ln(0.01e0) / {_LN2}) AS BIGINT) AS m FROM counted),
+sized AS (SELECT *, CAST(ceil(m / key_count * ln(2)) AS INT) AS k, CAST(ceil(m / {bloom.BUCKET_BITS}) AS BIGINT) AS buckets FROM with_m),
+cut AS (SELECT *, CAST(ceil(m / buckets) AS BIGINT) AS size FROM sized)"""
+_PLACES = f"{_md5(2)} % buckets AS bucket, unnest(list_transform(range(k), lambda i: ({_md5(0)} % size + i * ({_md5(1)} % greatest(size - 1, 1) + 1)) % size)) AS place"
+
+
+@query(
+    f"""WITH {_FILES}, {_FILTERS},
+bits AS (SELECT DISTINCT file_number, bucket, place FROM (SELECT file_number, {_PLACES} FROM stored JOIN cut USING (file_number)) q),
+near AS (SELECT DISTINCT file_number, s_suppkey AS key FROM supplier JOIN files ON s_suppkey BETWEEN smallest AND largest),
+asked AS (SELECT DISTINCT * FROM (SELECT file_number, key, {_PLACES} FROM near JOIN cut USING (file_number)) q),
+answered AS (SELECT a.file_number, a.key, bool_and(b.place IS NOT NULL) AS maybe FROM asked a LEFT JOIN bits b USING (file_number, bucket, place) GROUP BY 1, 2),
+f AS (SELECT a.*, s.key IS NOT NULL AS held FROM answered a LEFT JOIN stored s USING (file_number, key))
+SELECT file_number, count(*) AS probes, count(*) FILTER (maybe) AS hits, count(*) FILTER (maybe AND NOT held) AS found_nothing,
+       CASE WHEN count(*) FILTER (NOT held) > 0 THEN count(*) FILTER (maybe AND NOT held) / count(*) FILTER (NOT held) ELSE 0.0e0 END AS actual_fp_rate FROM f GROUP BY 1"""
+)
 def kv_bloom_prune(spark, sf_dir):
     """Per file: probes of all suppliers' numbers in its range, "maybe" answers, those that
-    found nothing, and their share of the absent ones. Hash values differ in other engines."""
-    stored = _file_keys(spark, sf_dir)
-    filters = bloom.build(stored)
-    probes = tables.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
-    near = probes.join(levels.broadcast_if_small(tables.event_files(spark, sf_dir)), F.col("key").between(F.col("smallest"), F.col("largest"))).select("file_number", "key")
-    asked = bloom.may_contain(filters, near).join(stored.withColumn("stored", F.lit(True)), ["file_number", "key"], "left")
+    found nothing, and their share of the absent ones. Hashes are those that SQL has too."""
+    stored = stage(_file_keys(spark, sf_dir), "file-keys")
+    filters = stage(bloom.build(stored, portable=True), "filters")
+    probes = tables.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key")).distinct()
+    near = levels.near_ranges(probes, tables.event_files(spark, sf_dir))
+    asked = bloom.may_contain(filters, near, portable=True).join(stored.withColumn("stored", F.lit(True)), ["file_number", "key"], "left")
     wrong = F.count_if(F.col("maybe") & F.col("stored").isNull())
     absent = F.count_if(F.col("stored").isNull())
     return asked.groupBy("file_number").agg(F.count("*").alias("probes"), F.count_if("maybe").alias("hits"), wrong.alias("found_nothing"), F.when(absent > 0, wrong / absent).otherwise(0.0).alias("actual_fp_rate"))
 
 
-@query()
+@query(
+    f"""WITH {_FILTERS}, e AS (SELECT *, pow(1 - exp(-k * key_count / m), k) AS error, CAST(ceil(m / 8) + 20 AS BIGINT) AS bytes FROM cut)
+SELECT count(*) AS total_filters, CAST(sum(bytes) AS BIGINT) AS total_memory_bytes, round(avg(error), 9) AS average_fp_rate, CAST(sum(bytes) AS BIGINT) // count(*) AS memory_per_filter FROM e"""
+)
 def kv_bloom_stats(spark, sf_dir):
     return bloom.stats(bloom.build(_file_keys(spark, sf_dir)))
 
 
+_RESIZE = f"""{_FILTERS}, held AS (SELECT file_number, key_count, CAST(CASE WHEN file_number % 2 = 0 THEN m ELSE 1024 END AS BIGINT) AS m, CASE WHEN file_number % 3 = 0 THEN 2 ELSE k END AS k, m AS new_m, k AS new_k FROM cut)"""
+
+
+def _odd_filters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Filters of which some have other sizes than their keys ask for, and the keys."""
+    stored = stage(_file_keys(spark, sf_dir), "file-keys")
+    sized = bloom.parameters(stored).withColumn("m", F.when(F.col("file_number") % 2 == 0, F.col("m")).otherwise(1024).cast("long")).withColumn("k", F.when(F.col("file_number") % 3 == 0, 2).otherwise(F.col("k")))
+    return bloom.build_sized(stored, sized), stored
+
+
+@query(f"WITH {_RESIZE} SELECT file_number, m, k, key_count, new_m, new_k, abs(new_m - m) > 0.2e0 * m OR abs(new_k - k) > 2 AS resize FROM held")
+def kv_bloom_resize(spark, sf_dir):
+    return bloom.needs_resize(_odd_filters(spark, sf_dir)[0], 0.01)
+
+
+@query(
+    f"""WITH {_RESIZE}, s AS (SELECT *, abs(new_m - m) > 0.2e0 * m OR abs(new_k - k) > 2 AS resize FROM held)
+SELECT file_number, CASE WHEN resize THEN new_m ELSE m END AS m, CASE WHEN resize THEN new_k ELSE k END AS k, key_count, CAST(0 AS BIGINT) AS false_negatives FROM s"""
+)
+def kv_bloom_optimize(spark, sf_dir):
+    """Filters far from the size for their keys are built anew, and still find every key."""
+    filters, stored = _odd_filters(spark, sf_dir)
+    better = stage(bloom.optimize(filters, stored), "filters")
+    lost = bloom.may_contain(better, stored).groupBy("file_number").agg(F.count_if(~F.col("maybe")).alias("false_negatives"))
+    return better.select(*bloom.SHAPE).distinct().join(lost, "file_number")
+
+
 # keys and records
 
 
@@ -405,8 +458,107 @@ def kv_compare(spark, sf_dir):
     return tables.read(spark, sf_dir, "customer").select("c_custkey", keys.compare(a, b).alias("compared"), keys.equal(a, b).alias("equal"))
 
 
-@query()
+_HEX = "array_to_string(list_transform({}, lambda b: printf('%02x', b)), '')"
+_BYTES = "list_transform(string_split({}, ''), lambda c: ascii(c))"
+
+
+def _little(value: str, size: int) -> str:
+    return f"list_transform(range({size}), lambda i: ({value} >> CAST(8 * i AS INT)) & 255)"
+
+
+_RECORDS = f"""{_OPS}, t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+parts AS (SELECT seq, kind, {_BYTES.format("CAST(key AS VARCHAR)")} AS k, CASE WHEN kind = 1 AND value IS NOT NULL THEN {_BYTES.format("CAST(value AS VARCHAR)")} ELSE [] END AS v FROM ops),
+body AS (SELECT seq, {_little("seq", 8)} || [CAST(kind AS BIGINT)] || {_little("len(k)", 4)} || k || {_little("len(v)", 4)} || v AS b FROM parts),
+summed AS (SELECT seq, b, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM body, t),
+records AS (SELECT seq, {_HEX.format("b || " + _little("crc", 4))} AS record FROM summed)"""
+
+
+@query(f"WITH {_RECORDS} SELECT seq, record FROM records")
 def kv_log_entry(spark, sf_dir):
-    """Each operation's log record in hex; DuckDB has no CRC-32."""
-    text = lambda c: F.col(c).cast("string").cast("binary")
-    return tables.event_ops(spark, sf_dir).select("seq", F.lower(F.hex(keys.encode_log_record("seq", "kind", text("key"), text("value")))).alias("record"))
+    """Each operation's log record in hex; the SQL sums by a table of 256 values."""
+    return tables.text_ops(spark, sf_dir).select("seq", F.lower(F.hex(keys.encode_log_record("seq", "kind", "key", "value"))).alias("record"))
+
+
+@query(f"WITH {_OPS} SELECT key, seq, kind, CASE WHEN kind = 1 THEN coalesce(CAST(value AS VARCHAR), '') END AS value FROM ops")
+def kv_recover_log(spark, sf_dir):
+    """Operations written as log files, headers, lengths, checksums and all, and decoded again."""
+    written = log_files.write_logs(tables.text_ops(spark, sf_dir), fresh_path(spark, "logs"))
+    back = log_files.read_named(written)
+    return back.select(F.col("key").cast("string").cast("long").alias("key"), "seq", "kind", F.col("value").cast("string").alias("value"))
+
+
+# the store itself: loaded by thirds, deleted from, flushed and compacted, then read
+
+
+def _stored(spark, sf_dir, snapshots: tuple[int, ...] = ()) -> tuple[Store, list[int]]:
+    """events in a store, after SNAPSHOT events and again after 5000 a flush (and a snapshot
+    where asked for) and a compaction of half the keys of level 0, then of a part of level 1."""
+    ops = tables.text_ops(spark, sf_dir)
+    store, held = Store.open(spark, fresh_path(spark, "store"), Options(write_buffer=1 << 40, file_bytes=64 << 10)), []
+    for low, high in ((0, 2500), (2500, 5000), (5000, 1 << 60)):
+        part = ops.where((F.col("seq") > low) & (F.col("seq") <= high))
+        store.load(part.select(F.col("seq").alias("op_index"), "key", "kind", "value"))
+        if high in snapshots:
+            held.append(store.snapshot())
+        store.flush()
+        store.compact_range(0, b"1", b"5")
+        store.compact_range(1, b"3", b"4")
+    return store, held
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    return df.select(F.col("key").cast("string").cast("long").alias("key"), F.col("value").cast("string").cast("double").alias("value"), "seq")
+
+
+@query(f"WITH {_latest()} SELECT key, value, seq FROM latest")
+def kv_store_view(spark, sf_dir):
+    store, _ = _stored(spark, sf_dir)
+    return _typed(store.view())
+
+
+@query(f"WITH {_latest(SNAPSHOT)} SELECT key, value, seq FROM latest")
+def kv_store_snapshot(spark, sf_dir):
+    """What a snapshot saw, read after later writes, a garbage collection and full compaction."""
+    store, (seen,) = _stored(spark, sf_dir, (SNAPSHOT,))
+    store.force_compact()
+    return _typed(store.view(seen))
+
+
+@query(f"WITH {_latest()} SELECT key, value, seq FROM latest WHERE key BETWEEN 100 AND 199")
+def kv_store_range(spark, sf_dir):
+    """Keys in order of their bytes: all of three digits that begin with 1."""
+    store, _ = _stored(spark, sf_dir)
+    return _typed(store.range(b"100", b"199").where(F.length("key") == 3))
+
+
+@query(f"WITH {_latest()} SELECT CAST(count(*) AS BIGINT) AS versions, CAST(count(DISTINCT key) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS deletions, max(seq) AS last_seq FROM latest")
+def kv_store_compacted(spark, sf_dir):
+    """After all is compacted to the last level, without snapshots: a version a visible key, no deletion."""
+    store, _ = _stored(spark, sf_dir)
+    for _ in range(store.options.max_levels):
+        store.force_compact()
+    return store.ops().agg(F.count("*").alias("versions"), F.count_distinct("key").alias("keys"), F.count_if(F.col("kind") == 0).alias("deletions"), F.max("seq").alias("last_seq"))
+
+
+@query(
+    """WITH batches AS (SELECT c_custkey AS key, c_custkey % 50 AS turn, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS kind, c_name AS value FROM customer),
+again AS (SELECT *, row_number() OVER (ORDER BY turn, key) AS place FROM batches),
+w AS (SELECT key % 40 AS key, kind, value, row_number() OVER (PARTITION BY key % 40 ORDER BY place DESC) AS rn FROM again)
+SELECT key, value FROM w WHERE rn = 1 AND kind = 1"""
+)
+def kv_store_load(spark, sf_dir):
+    """A bulk load that writes each of 40 keys many times, put and deleted in an order that is not the table's."""
+    store = Store.open(spark, fresh_path(spark, "store"))
+    rows = tables.read(spark, sf_dir, "customer").select(F.struct(F.col("c_custkey") % 50, "c_custkey").alias("op_index"), (F.col("c_custkey") % 40).cast("string").cast("binary").alias("key"), F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(1).alias("kind"), F.col("c_name").cast("binary").alias("value"))
+    store.load(rows)
+    return store.view().select(F.col("key").cast("string").cast("long").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query(
+    f"""WITH {_ORDERS}, written AS (SELECT key % 10 AS key, seq % 100 AS seq, kind, value, seq AS written FROM ops)
+SELECT key, seq, kind, value FROM (SELECT *, row_number() OVER (PARTITION BY key, seq, kind ORDER BY written DESC) AS rn FROM written) q WHERE rn = 1"""
+)
+def kv_overwrite(spark, sf_dir):
+    """Writes of an equal internal key replace each other."""
+    ops = tables.order_ops(spark, sf_dir).select((F.col("key") % 10).alias("key"), (F.col("seq") % 100).alias("seq"), "kind", "value", F.col("seq").alias("written"))
+    return versions.last_written(ops, "written")

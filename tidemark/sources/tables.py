@@ -22,6 +22,12 @@ def event_ops(spark: SparkSession, sf_dir: str, snapshot: int | None = None) ->
     return events.select(F.col("user_id").alias("key"), (F.col("event_id") + 1).alias("seq"), kind.alias("kind"), "value")
 
 
+def text_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with key and value as bytes of their text, as a store or log file holds them."""
+    text = lambda c: F.col(c).cast("string").cast("binary")
+    return event_ops(spark, sf_dir).select(text("key").alias("key"), "seq", "kind", text("value").alias("value"))
+
+
 def order_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as a log: o_custkey is the key, o_orderkey + 1 the seq, status F a deletion."""
     kind = F.when(F.col("o_orderstatus") == "F", 0).otherwise(1)
