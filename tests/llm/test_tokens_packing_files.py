@@ -27,6 +27,17 @@ def test_pieces_give_the_ids_of_the_whole(text):
     assert encoder(default_path()).ids(text) == np.array(whole(text), "<u4").tobytes()
 
 
+def test_every_letter_before_every_mark():
+    e = encoder(default_path())
+    letters = [chr(c) for c in range(0x21, 0x530) if chr(c).lower() != chr(c) or chr(c).upper() != chr(c) or chr(c).isalpha()]
+    for mark in (".", ",", "!", "'s", ".,", "?"):
+        text = " ".join(f"{c}{mark} a{c}{mark} {c}B{mark}" for c in letters)
+        assert e.ids(text) == np.array(whole(text), "<u4").tobytes()
+    for text in ("TARİHİ, EVİ.", "İ.", "İ,", "aİ. İa, ii̇."):
+        assert e.ids(text) == np.array(whole(text), "<u4").tobytes()
+    assert len(whole("TARİHİ, EVİ.")) == 10
+
+
 def test_real_texts(docs):
     e = encoder(default_path())
     for (text,) in docs.select("text").limit(300).collect():

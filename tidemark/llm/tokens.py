@@ -2,8 +2,8 @@
 
 The vocabulary's pre-tokenizer never lets a token cross white space, and within the Latin
 blocks its split, lower-casing and NFC work character by character. So a text's ids are
-the ids of its pieces, joined. Pieces with any character from U+0250 on go to the library
-whole. tests/llm compare with the library's ids for whole texts.
+the ids of its pieces, joined. Pieces with any character from U+0250 on, or U+0130, go to
+the library whole. tests/llm compare with the library's ids for whole texts.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ class Encoder:
     def chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if max(chunk) >= "ɐ" or "<|" in chunk:
+        if max(chunk) >= "ɐ" or "İ" in chunk or "<|" in chunk:  # İ in lower case is two characters
             return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         low = chunk.lower()
         if chunk.isalpha():
