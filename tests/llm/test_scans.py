@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -132,6 +133,74 @@ def test_decontamination_keeps_columns_and_handles_odd_rows(spark, odd, none):
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(odd, bench.limit(0)).count() == 0
 
 
+def brute_stretch(words, item):
+    """Most matches of a greatest-sum stretch on any diagonal."""
+    best = 0
+    for d in range(-len(item) + 1, len(words)):
+        run = low = at = 0
+        sums, equal = [0], []
+        for j in range(len(item)):
+            if 0 <= d + j < len(words):
+                equal.append(words[d + j] == item[j])
+                sums.append(sums[-1] + (1 if equal[-1] else -2))
+        low = [min(sums[: i + 1]) for i in range(len(sums))]
+        end = max(range(len(sums)), key=lambda i: (sums[i] - low[i], -i))
+        at = sums.index(low[end])
+        run = sum(equal[at:end])
+        best = max(best, run)
+    return best
+
+
+@pytest.mark.parametrize("size, least", [(8, 1.0), (10, 1.0), (12, 1.0), (16, 0.99), (30, 0.99)])
+def test_random_substitutions_against_all_diagonals(spark, size, least):
+    """Every passage that verification accepts, at a fifth of its words replaced, is to be found."""
+    rng = random.Random(size)
+    rows, accepted = [], set()
+    item = [f"i{k}" for k in range(size)]
+    for d in range(400):
+        said = [x if rng.random() > 0.2 else f"s{rng.randrange(10**9)}" for x in item]
+        words = [f"a{rng.randrange(10**9)}" for _ in range(rng.randrange(20))] + said + [f"b{rng.randrange(10**9)}" for _ in range(rng.randrange(20))]
+        rows.append((d, " ".join(words)))
+        if brute_stretch(words, item) >= decontam.needed(size):
+            accepted.add(d)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got <= accepted and len(got) >= least * len(accepted) > 20
+
+
+def test_every_fourth_word_replaced(spark):
+    item = [f"i{k}" for k in range(60)]
+    said = [x if k % 4 else f"s{k}" for k, x in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontam.leaks(spark.createDataFrame([(1, " ".join(["x", *said, "y"]))], "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.matched) for r in got] == [(1, 45)]
+
+
+def test_items_under_eight_words_match_whole(spark):
+    items = {n: [f"n{n}w{k}" for k in range(n)] for n in range(1, 8)}
+    rows = [(n, " ".join(["before", *x, "after"])) for n, x in items.items()] + [(10 + n, " ".join(["before", *x[:-1], "other", x[-1]])) for n, x in items.items()]
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.matched, r.length) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    assert got == [(n, n, n, n) for n in range(decontam.MIN_ITEM, 8)]
+
+
+def test_one_word_repeated_is_work_in_proportion(spark):
+    import time
+
+    bench = spark.createDataFrame([(1, " ".join(["same"] * 40)), (2, "other words " * 30)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(["same"] * 20_000)), (2, "x " * 100), (3, "other words " * 10_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = sorted((r.doc_id, r.item_id, r.doc_start, r.matched) for r in decontam.leaks(docs, bench).collect())
+    assert got == [(1, 1, 0, 40), (3, 2, 0, 60)] and time.perf_counter() - began < 60
+
+
+def test_leaking_rows_without_id_go_alone(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([(None, item, 1), (None, "a clean row", 2), (3, item, 3), (4, "clean too", 4)], "doc_id long, text string, `meta.url` long")
+    kept = decontam.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r["meta.url"] for r in kept.collect()) == [2, 4] and kept.columns == docs.columns
+
+
 # recurring lines
 
 

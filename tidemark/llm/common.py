@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 from pathlib import Path
@@ -14,53 +10,15 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import fresh_path as fresh_path
+from tidemark.sources.shared import qualified as qualified
+from tidemark.sources.shared import stage as stage
+
 ROOT = str(Path(__file__).resolve().parents[2])
-_OWN: dict[str, str] = {}
 #: Bytes of an Arrow batch to or from a Python worker.
 BATCH_BYTES = "8m"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own.
-
-    Where the setting is absent, a local master gets a temporary folder and any other
-    master a folder in the warehouse, which executors see too.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        if spark.sparkContext.master.startswith("local"):
-            _OWN[app] = tempfile.mkdtemp(prefix="tidemark-")
-            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-        else:
-            _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidemark"
-    return _OWN[app]
-
-
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder with its file system named, as Spark resolves it, so that Python finds it too."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return full if "://" in full else full.replace("file:/", "file:///", 1)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{qualified(spark, shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends in durable files.
-
-    A lost executor costs only the tasks it ran, and the planner knows the table's size.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def filtered_joins(spark: SparkSession):
     """Within, Spark filters the large side of a shuffled join by a Bloom filter of bounded
@@ -92,12 +50,17 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def texts(docs: DataFrame, *extra: str) -> DataFrame:
+def texts(docs: DataFrame, *extra: str | Column) -> DataFrame:
     """(doc_id, text, extra...) only, so that other columns can't clash; null text is empty."""
     reach_workers(docs.sparkSession)
     return docs.select("doc_id", whole_text().alias("text"), *extra)
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """df's columns, each by its whole name, dots and all."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
