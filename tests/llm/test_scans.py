@@ -204,39 +204,48 @@ def test_leaking_rows_without_id_go_alone(spark):
 # recurring lines
 
 
-def brute_lines(rows):
-    """{(doc_id, text): kept lines} by a dictionary tree."""
-    T = line_templates
-    mask = lambda line: [("<*>" if re.search("[0-9]", t) else t) for t in line.strip(" ").split(" ")]
+def brute_lines(rows, alone=()):
+    """{(doc_id, text): kept lines} by a dictionary tree; alone maps ids of documents that keep
+    all lines to whether they count."""
+    T, alone = line_templates, dict(alone)
+    mask = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in line.split(" "))
+    wordy = lambda tokens: sum(any(c.isalpha() for c in t) for t in tokens) >= T.WORDS
     texts = sorted({(d is not None, d or 0, t or "") for d, t in rows})
-    held = defaultdict(list)
+    held = defaultdict(list)  # (kind, key) -> places
     for has, d, t in texts:
+        if not alone.get(d if has else None, True):
+            continue
+        later = (d if has else None) not in alone
         for pos, line in enumerate(t.split("\n")):
-            tokens = mask(line)
-            if tokens != [""]:
-                held[tuple(tokens)].append(((has, d), pos, t))
+            raw = line.strip(" ")
+            if raw:
+                tokens = mask(raw)
+                own = "<*>" in " ".join(tokens) and not wordy(tokens)
+                held[("alone", raw) if own else ("line", tokens)].append(((later, has, d), pos, t))
+                if len(tokens) >= T.LONG:
+                    held["words", raw].append(((later, has, d), pos, t))
     leaves = defaultdict(list)
-    for tokens in held:
-        leaves[(len(tokens), *tokens[: T.LEADING])].append(tokens)
+    for kind, tokens in held:
+        if kind == "line":
+            leaves[(len(tokens), *tokens[: T.LEADING])].append(tokens)
     template = {}
     for leaf, variants in leaves.items():
-        n_texts = sum(len({t for _, _, t in held[v]}) for v in variants)
-        if len(variants) > 1 and n_texts >= T.MIN_DOCUMENTS:
-            shape = []
-            for column in zip(*variants, strict=True):
-                have, token = max((n, x) for x, n in Counter(column).items())
-                shape.append(token if have >= T.CONSTANT * len(variants) else None)
+        n_texts = sum(len({t for _, _, t in held["line", v]}) for v in variants)
+        kept = leaf[0] - T.LEADING - max(1, leaf[0] // T.VARIABLE_SHARE)
+        if len(variants) > 1 and n_texts >= T.MIN_DOCUMENTS and kept >= T.WORDS:
+            have = [Counter(column) for column in zip(*variants, strict=True)]
             for v in variants:
-                if sum(a == b for a, b in zip(v, shape, strict=True)) >= T.SIMILAR * len(v):
-                    template[v] = ("leaf", leaf)
+                places = sorted(range(T.LEADING, leaf[0]), key=lambda i: (-have[i][v[i]], i))[:kept]
+                if wordy([v[i] for i in places]):
+                    template["line", v] = (leaf, *((i, v[i]) for i in sorted(places)))
     by = defaultdict(list)
-    for v, places in held.items():
-        by[template.get(v, v)] += places
+    for key, places in held.items():
+        by[template.get(key, key)] += places
     drop = set()
-    for places in by.values():
-        if len({t for _, _, t in places}) >= T.MIN_DOCUMENTS:
+    for key, places in by.items():
+        if len({t for _, _, t in places}) >= (T.MIN_LONG if key[0] == "words" else T.MIN_DOCUMENTS):
             first = min((d, pos) for d, pos, _ in places)
-            drop |= {(d, t, pos) for d, pos, t in places if (d, pos) != first}
+            drop |= {(d[1:], t, pos) for d, pos, t in places if (d, pos) != first and d[0]}
     return {((d if has else None), t): [x for i, x in enumerate(t.split("\n")) if ((has, d), t, i) not in drop] for has, d, t in texts}
 
 
@@ -280,10 +289,52 @@ def test_different_short_lines_stay(spark):
     assert all(got[i] == rows[i][1].split("\n")[:6] for i in range(1, len(rows)))
 
 
+def test_long_lines_recur_from_two_texts(spark):
+    long = " ".join(f"{'abcdefghij'[i % 10]}{'klmno'[i % 5]}" for i in range(60))
+    rows = [(1, f"one\n{long}\nshort line"), (2, f"two\n  {long}\nshort line"), (3, f"three\n{long} more\nshort line"), (4, f"four\n{long[:59]}\nshort line")]
+    got = {r.doc_id: r.text for r in check_lines(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == {1: rows[0][1], 2: "two\nshort line", 3: rows[2][1], 4: rows[3][1]}
+
+
+def test_prose_that_differs_in_many_places_stays(spark):
+    """Twelve near copies of a paragraph, words replaced anywhere: none is another's template."""
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    say = lambda i: " ".join(w if k < 3 or rng.random() > 0.25 else f"{w}{chr(97 + i)}{chr(97 + rng.randrange(26))}" for k, w in enumerate(words))
+    rows = [(i, say(i)) for i in range(12)]
+    assert all(r.n_dropped == 0 for r in check_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+
+
+def test_a_dropped_line_differs_from_a_kept_one_in_variable_fields_only(docs):
+    got = line_templates.line_dedup(docs).collect()
+    before = {r.doc_id: (r.text or "").split("\n") for r in docs.collect()}
+    mask = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in line.strip(" ").split(" "))
+    kept = Counter(mask(x) for r in got for x in (r.text or "").split("\n"))
+    by_leaf = defaultdict(list)
+    for m in kept:
+        by_leaf[len(m), m[:3]].append(m)
+    for r in got:
+        for m in (Counter(map(mask, before[r.doc_id])) - Counter(map(mask, (r.text or "").split("\n")))):
+            differ = min(sum(a != b for a, b in zip(m, k, strict=True)) for k in by_leaf[len(m), m[:3]])
+            assert differ <= max(1, len(m) // line_templates.VARIABLE_SHARE)
+
+
+def test_documents_left_alone(spark):
+    long = " ".join("abcdefghijklmnopqrstuvwxyz"[:25])
+    rows = [(1, f"one\n{long}"), (2, f"two\n{long}"), (3, long), (4, f"four\n{long}"), (5, f"five\n{long}"), (None, f"six\n{long}")]
+    alone = [(2, True), (5, False)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, `a.b` long")
+    got = line_templates.deduplicated(df, spark.createDataFrame(alone, "doc_id long, counts boolean"))
+    assert got.columns == df.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, "one"), (2, rows[1][1]), (4, "four"), (5, rows[4][1]), (None, "six")}
+    want = brute_lines(rows, alone)
+    assert want[1, rows[0][1]] == ["one"] and want[3, long] == [] and want[5, rows[4][1]] == rows[4][1].split("\n")
+
+
 def test_line_dedup_is_native(docs):
     assert "Python" not in line_templates.line_dedup(docs)._jdf.queryExecution().toString()
 
 
 def test_deduplicated_keeps_columns(odd):
     got = line_templates.deduplicated(odd)
-    assert got.columns == odd.columns and got.count() == odd.count()
+    assert got.columns == odd.columns and got.count() == odd.count()  # no text of odd has only lines of others

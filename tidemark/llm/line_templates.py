@@ -1,28 +1,31 @@
 """Line dedup by a fixed-depth log-template tree; DataFrame functions only.
 
 A line's tokens are what single spaces part it into, spaces at its ends aside; a token with
-a digit is the variable <*>. Its leaf in the tree is its token count and its LEADING first tokens. Lines of
-one leaf whose other tokens differ may be one template with more variable fields: where a
-leaf has several wordings and is in MIN_DOCUMENTS texts or more, each position's most
-frequent token stays constant if at least CONSTANT of the wordings have it, and wordings
-that agree with the constants at SIMILAR of the positions after the leading tokens, which
-all of them share anyway, are that template. The leaf's
-other wordings have templates of their own: of the positions after the leading tokens each
-keeps the SIMILAR share whose tokens most of these wordings have, and wordings that keep the
-same tokens at the same positions are one template, however many templates the leaf holds.
-A template of differing wordings has WORDS constant words or more after the leading tokens,
-a word being a token with a letter; a line with a variable and fewer words than WORDS in all
-(a number, a table's row of numbers, a page number) is a template only with its equals.
-
-A template in MIN_DOCUMENTS or more different texts (exact copies count once) recurs: its
-lines are dropped, but for its first line in the text with the least doc_id, so that no
-content leaves the corpus. Lines without tokens stay. Kept lines are unchanged, in order.
+a digit is the variable <*>. Its leaf in the tree is its token count and its LEADING first
+tokens. Lines of one leaf whose other tokens differ may be one template with more variable
+fields: where a leaf has several wordings and is in MIN_DOCUMENTS texts or more, each wording
+gives up the variable fields that such a template may have, one or a tenth of the line's
+tokens: those after the leading tokens whose tokens fewest of the leaf's wordings have at
+that place. Wordings that are equal at all other places are one template, however many
+templates the leaf holds. A template of differing wordings has WORDS constant words or more
+after the leading tokens, a word being a token with a letter; a line with a variable and
+fewer words than WORDS in all (a number, a table's row of numbers, a page number) is a
+template only with its equals.
+
+Two things recur: a template in MIN_DOCUMENTS or more different texts (exact copies count
+once), and a line of LONG tokens or more that stands word for word in MIN_LONG or more. Their
+lines are dropped, but for the first in the text with the least doc_id. So a dropped line has
+an equal that is kept, or one that differs from it in numbers and in a template's variable
+fields only. Lines without tokens stay. Kept lines are unchanged, in order.
 
 Distinct (template, text) rows are formed before counting, so a line that a third of all
 texts hold is counted map-side. Text itself is shuffled once, to meet its decisions.
 
-Defined cases: null text is empty, has one line, and stays as it is; rows that share a doc_id are
-one document if their texts are equal, else texts of their own; an empty table gives no rows.
+Defined cases: null text is empty, has one line, and stays as it is; texts and lines of any
+length are read whole; rows that share a doc_id are one document if their texts are equal,
+else texts of their own, of which the least hash comes first; of places of most frequent
+tokens the first is kept; other columns, whatever their names, are only passed on; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filtered_joins, stage, unused, whole_text
+from tidemark.llm.common import filtered_joins, quoted, stage, unused, whole_text
 
 LEADING = 3
 MIN_DOCUMENTS = 10
-CONSTANT = 0.5
-SIMILAR = 0.6
+#: A line of so many tokens recurs in so many texts, word for word.
+LONG, MIN_LONG = 20, 2
+#: A template has one variable field more, or one for so many tokens.
+VARIABLE_SHARE = 10
 WORDS = 2
 LETTER = r"\p{L}"
 #: WORDS words in a masked line: anchored and without giving back, so in time linear in the line.
@@ -57,12 +62,13 @@ def _worded(tokens: Column) -> Column:
 
 
 def _templates(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(leaf, wording, template) for the wordings that a leaf's template takes in.
+    """(leaf, wording, template) for the wordings that may share a template with others.
 
     held: (leaf, wording, content, first). Only leaves that can recur and vary are looked at,
     and of each of their wordings one line, which is read again from its text.
     """
-    wordings = held.groupBy("leaf", "wording").agg(F.count("*").alias("texts"), F.min(F.struct("first.doc_id", "first.pos", "content")).alias("at"))
+    wordings = held.where("leaf is not null").groupBy("leaf", "wording").agg(F.count("*").alias("texts"), F.min(F.struct("first.doc_id", "first.pos", "content")).alias("at"))
+    wordings = stage(wordings, "wordings")
     leaves = wordings.groupBy("leaf").agg(F.count("*").alias("variants"), F.sum("texts").alias("texts"))
     leaves = stage(leaves.where((F.col("variants") > 1) & (F.col("texts") >= MIN_DOCUMENTS)).select("leaf"), "leaves")
     wanted = wordings.join(leaves, "leaf").groupBy(F.col("at.doc_id").alias("wanted_id"), F.col("at.content").alias("content")).agg(F.collect_list(F.struct("at.pos", "leaf", "wording")).alias("lines"), F.count("*").alias("n"))
@@ -71,84 +77,88 @@ def _templates(docs: DataFrame, held: DataFrame) -> DataFrame:
     rows = rows.select(F.split(_masked("text"), "\n").alias("all"), F.explode("lines").alias("l")).select("l.leaf", "l.wording", F.split(F.trim(F.get("all", F.col("l.pos"))), " ", -1).alias("tokens"))
     with filtered_joins(docs.sparkSession):  # only texts with a wanted line are shuffled
         variants = stage(rows, "variants").dropDuplicates(["leaf", "wording"])
-    # a count at each position, formed map-side; the most frequent token of each
-    counted = variants.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("have"))
-    top = counted.groupBy("leaf", "at").agg(F.max(F.struct("have", "token")).alias("top"), F.sum("have").alias("all"))
-    constant = F.when(F.col("top.have") >= CONSTANT * F.col("all"), F.col("top.token"))
-    shape = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("shape"))
-    shape = shape.select("leaf", F.col("shape.token").alias("shape"))
-    met = variants.join(shape, "leaf")
-    agreed = F.zip_with("tokens", "shape", lambda a, b: F.when(a == b, a))
-    agreed = F.filter(agreed, lambda x, i: (i >= LEADING) & x.isNotNull())
-    taken = (F.size(agreed) >= SIMILAR * (F.size("tokens") - LEADING)) & _worded(agreed)
-    met = stage(met.select("leaf", "wording", "tokens", taken.alias("taken")), "met")
-    one = met.where("taken").select("leaf", "wording", F.xxhash64(F.lit("template"), F.col("leaf")).alias("template"))
-    return one.unionByName(_further(met.where("not taken")))
-
-
-def _further(rest: DataFrame) -> DataFrame:
-    """(leaf, wording, template) for wordings (leaf, wording, tokens) that the leaf's first template leaves out."""
-    at = rest.select("leaf", "wording", F.posexplode("tokens").alias("at", "token")).where(F.col("at") >= LEADING)
-    have = at.groupBy("leaf", "at", "token").agg(F.count("*").alias("have"))
-    ranked = at.join(have, ["leaf", "at", "token"]).groupBy("leaf", "wording").agg(F.sort_array(F.collect_list(F.struct((-F.col("have")).alias("rank"), "at", "token"))).alias("all"))
-    most = F.slice("all", 1, F.ceil(SIMILAR * F.size("all")).cast("int"))
-    kept = F.sort_array(F.transform(most, lambda x: F.struct(x["at"], x["token"])))
+    kept = (F.size("tokens") - LEADING - F.greatest(F.lit(1), F.floor(F.size("tokens") / VARIABLE_SHARE))).cast("int")
+    at = variants.select("leaf", "wording", kept.alias("n_kept"), F.posexplode("tokens").alias("at", "token")).where((F.col("at") >= LEADING) & (F.col("n_kept") >= WORDS))
+    at = stage(at, "tokens")
+    # a count at each position, formed map-side
+    have = stage(at.groupBy("leaf", "at", "token").agg(F.count("*").alias("have")), "counts")
+    ranked = at.join(have, ["leaf", "at", "token"]).groupBy("leaf", "wording", "n_kept").agg(F.sort_array(F.collect_list(F.struct((-F.col("have")).alias("rank"), "at", "token"))).alias("all"))
+    most = F.slice("all", F.lit(1), F.col("n_kept"))
     ranked = ranked.where(_worded(F.transform(most, lambda x: x["token"])))
-    return ranked.select("leaf", "wording", F.xxhash64(F.lit("further"), F.col("leaf"), kept).alias("template"))
+    constant = F.sort_array(F.transform(most, lambda x: F.struct(x["at"], x["token"])))
+    return ranked.select("leaf", "wording", F.xxhash64(F.lit("template"), F.col("leaf"), constant).alias("template"))
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, kept): per text with a line to drop, which of its lines stay.
-
-    content is the text's hash; kept[i] tells of line i.
-    """
+def _lines(docs: DataFrame, alone: DataFrame | None) -> DataFrame:
+    """(doc_id, content, pos, leaf, wording, stays): a row per line with tokens, and for a long
+    line one more, with null leaf and the hash of its own words."""
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("content"), F.posexplode(F.arrays_zip(F.split(_masked(whole_text()), "\n").alias("line"), F.split(whole_text(), "\n").alias("raw"))).alias("pos", "of"))
-    rows = rows.select("doc_id", "content", "pos", F.trim("of.line").alias("line"), F.trim("of.raw").alias("raw")).withColumn("n", _n_tokens("line"))
-    leaf = F.xxhash64("n", F.substring_index("line", " ", LEADING))
+    rows = rows.select("doc_id", "content", "pos", F.trim("of.line").alias("line"), F.trim("of.raw").alias("raw")).where("line <> ''").withColumn("n", _n_tokens("line"))
     # without enough words a line stands in a leaf of its own
-    alone = F.when(F.col("line").contains("<*>") & ~F.col("line").rlike(ENOUGH), F.xxhash64(F.lit("alone"), F.col("raw")))
-    rows = rows.select("doc_id", "content", "pos", "n", leaf.alias("leaf"), F.xxhash64("line").alias("wording"), alone.alias("alone"))
-    lines = rows.select("doc_id", "content", "pos", *(F.when(F.col("n") > 0, F.coalesce("alone", c)).alias(c) for c in ("leaf", "wording")))
-    lines = stage(lines, "lines")
-    held = lines.where("leaf is not null").groupBy("leaf", "wording", "content").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    own = F.when(F.col("line").contains("<*>") & ~F.col("line").rlike(ENOUGH), F.xxhash64(F.lit("alone"), F.col("raw")))
+    by_template = F.struct(F.coalesce(own, F.xxhash64("n", F.substring_index("line", " ", LEADING))).alias("leaf"), F.coalesce(own, F.xxhash64("line")).alias("wording"))
+    by_words = F.struct(F.lit(None).cast("long").alias("leaf"), F.xxhash64(F.lit("words"), F.col("raw")).alias("wording"))
+    keys = F.when(F.col("n") >= LONG, F.array(by_template, by_words)).otherwise(F.array(by_template))
+    lines = stage(rows.select("doc_id", "content", "pos", F.explode(keys).alias("k")).select("doc_id", "content", "pos", "k.*"), "lines")
+    if alone is None:
+        return lines.withColumn("stays", F.lit(False))
+    told = stage(alone.select("doc_id", "counts").where("doc_id is not null"), "alone")
+    joined = stage(lines.join(told.hint("merge"), "doc_id", "left"), "counted-lines")
+    return joined.where(F.coalesce("counts", F.lit(True))).select(*lines.columns, F.col("counts").isNotNull().alias("stays"))
+
+
+def recurring_lines(docs: DataFrame, alone: DataFrame | None = None) -> DataFrame:
+    """(doc_id, content, dropped): per text with a line to drop, the places of those lines;
+    content is the text's hash.
+
+    alone: (doc_id, counts), documents that keep all their lines. Those that count are where
+    a recurring line is kept rather than elsewhere; of the others nothing is read.
+    """
+    lines = _lines(docs, alone)
+    held = lines.groupBy("leaf", "wording", "content").agg(F.min(F.struct((~F.col("stays")).alias("later"), "doc_id", "content", "pos")).alias("first"))
     held = stage(held, "held")
     templates = stage(_templates(docs, held), "templates")
-    named = held.join(templates, ["leaf", "wording"], "left").withColumn("template", F.coalesce("template", F.xxhash64("leaf", "wording")))
-    by_text = named.groupBy("template", "content").agg(F.min("first").alias("first"))
-    recurring = by_text.groupBy("template").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= MIN_DOCUMENTS)
-    recurring = stage(recurring.select("template", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")), "recurring")
-    dropped = named.select("leaf", "wording", "template").distinct().join(recurring, "template").drop("template")
-    decided = lines.join(stage(dropped, "dropped"), ["leaf", "wording"], "left")
-    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
-    decided = decided.select("doc_id", "content", "pos", (F.col("first_pos").isNull() | first).alias("stays")).distinct()
-    flags = F.sort_array(F.collect_list(F.struct("pos", "stays")))
-    of_text = decided.groupBy("doc_id", "content").agg(F.min("stays").alias("whole"), flags.alias("flags")).where("not whole")
-    return of_text.select("doc_id", "content", F.col("flags.stays").alias("kept"))
-
-
-def _decided(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """(docs with a further column, that column: which lines stay or null for all, the
+    named = held.join(templates, ["leaf", "wording"], "left").withColumn("template", F.coalesce("template", F.xxhash64(F.col("leaf").isNull(), "leaf", "wording")))
+    by_text = named.groupBy("template", "content").agg(F.min("first").alias("first"), F.max(F.col("leaf").isNull()).alias("by_words"))
+    least = F.when(F.col("by_words"), MIN_LONG).otherwise(MIN_DOCUMENTS)
+    recurring = by_text.groupBy("template", "by_words").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= least)
+    recurring = stage(recurring.select("template", F.struct("first.doc_id", "first.content", "first.pos").alias("first")), "recurring")
+    dropped = stage(named.select("leaf", "wording", "template").distinct().join(recurring, "template").select("wording", F.col("leaf").isNull().alias("words"), F.coalesce("leaf", F.lit(0)).alias("leaf"), "first"), "dropped")
+    at = lines.where("not stays").select("doc_id", "content", "pos", "wording", F.col("leaf").isNull().alias("words"), F.coalesce("leaf", F.lit(0)).alias("leaf"))
+    with filtered_joins(docs.sparkSession):
+        gone = at.join(dropped.where("leaf is not null").hint("merge"), ["words", "leaf", "wording"]).where(~F.struct("doc_id", "content", "pos").eqNullSafe(F.col("first")))
+        return stage(gone.groupBy("doc_id", "content").agg(F.collect_set("pos").alias("dropped")), "dropped-lines")
+
+
+def _decided(docs: DataFrame, alone: DataFrame | None = None) -> tuple[DataFrame, Column, Column]:
+    """(docs with a further column, that column: places of dropped lines or null for none, the
     shortened text); the columns of docs are untouched."""
-    of_id, of_content, stays = unused(docs, "kept_of", "kept_content", "kept")
-    found = recurring_lines(docs).select(F.col("doc_id").alias(of_id), F.col("content").alias(of_content), F.col("kept").alias(stays))
+    of_id, of_content, gone = unused(docs, "dropped_of", "dropped_content", "dropped")
+    found = recurring_lines(docs, alone).select(F.col("doc_id").alias(of_id), F.col("content").alias(of_content), F.col("dropped").alias(gone))
     same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64(whole_text()) == F.col(of_content))
-    kept = F.col(stays)
-    lines = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), kept.alias("stays")), lambda x: x["stays"])
-    text = F.when(kept.isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"))
-    return docs.join(stage(found, "kept-lines").hint("merge"), same, "left"), kept, text
+    lines = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    return docs.join(found.hint("merge"), same, "left"), F.col(gone), text
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped), a row per row of docs."""
-    own, kept, text = _decided(docs.select("doc_id", "text"))
-    dropped = F.when(kept.isNull(), 0).otherwise(F.size(F.filter(kept, lambda x: ~x)))
-    return own.select("doc_id", text.alias("text"), F.size(F.split(whole_text(), "\n")).alias("n_lines"), dropped.alias("n_dropped"))
+    own, dropped, text = _decided(docs.select("doc_id", "text"))
+    n = F.when(dropped.isNull(), 0).otherwise(F.size(dropped))
+    return own.select("doc_id", text.alias("text"), F.size(F.split(whole_text(), "\n")).alias("n_lines"), n.alias("n_dropped"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with their texts shortened; n_chars, where there is one, follows the text."""
-    own, kept, text = _decided(docs)
-    changed = {"text": text}
+def deduplicated(docs: DataFrame, alone: DataFrame | None = None) -> DataFrame:
+    """docs with their texts shortened; n_chars, where there is one, follows the text. A document
+    that has nothing of its own, none but dropped and blank lines, goes.
+
+    alone: (doc_id, counts), documents to leave as they are; see recurring_lines.
+    """
+    own, dropped, text = _decided(docs, alone)
+    short, = unused(own, "short_text")
+    own = own.withColumn(short, text).where(dropped.isNull() | F.col(short).rlike(r"[^ \n]"))
+    changed = {"text": F.col(short)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(kept.isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return own.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+        changed["n_chars"] = F.when(dropped.isNull(), F.col("n_chars")).otherwise(F.char_length(short).cast(docs.schema["n_chars"].dataType))
+    return own.select(*(changed[c].alias(c) if c in changed else of for c, of in zip(docs.columns, quoted(docs), strict=True)))

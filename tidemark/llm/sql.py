@@ -9,22 +9,25 @@ from tidemark.llm.neardup import SHINGLE_WORDS, SIMILAR
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDY = "list_filter({}, lambda x: regexp_matches(x, '\\pL'))"
 LINE_DEDUP = f"""
 WITH t AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM t),
-l AS (SELECT *, list_transform(string_split(trim(line, ' '), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens, trim(line, ' ') <> '' AS real FROM u),
-h AS (SELECT tokens, text, [CAST(len(tokens) AS VARCHAR)] || tokens[1:{lines.LEADING}] AS leaf FROM l WHERE real GROUP BY ALL),
-w AS (SELECT leaf, tokens, count(*) AS texts FROM h GROUP BY ALL),
+s AS (SELECT *, trim(line, ' ') AS raw, list_transform(string_split(trim(line, ' '), ' '), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM u),
+l AS (SELECT *, raw <> '' AS real, array_to_string(tokens, ' ') AS masked, contains(array_to_string(tokens, ' '), '<*>') AND len({_WORDY.format("tokens")}) < {lines.WORDS} AS alone FROM s),
+h AS (SELECT tokens, masked, text, [CAST(len(tokens) AS VARCHAR)] || tokens[1:{lines.LEADING}] AS leaf FROM l WHERE real AND NOT alone GROUP BY ALL),
+w AS (SELECT leaf, tokens, masked, count(*) AS texts FROM h GROUP BY ALL),
 f AS (SELECT leaf FROM w GROUP BY leaf HAVING count(*) > 1 AND sum(texts) >= {lines.MIN_DOCUMENTS}),
-v AS (SELECT leaf, tokens FROM w JOIN f USING (leaf)),
-p AS (SELECT leaf, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS place FROM v),
-q AS (SELECT leaf, place, token, count(*) AS have FROM p GROUP BY ALL),
-r AS (SELECT leaf, place, token, have, sum(have) OVER (PARTITION BY leaf, place) AS every, row_number() OVER (PARTITION BY leaf, place ORDER BY have DESC, token DESC) AS rn FROM q),
-shape AS (SELECT leaf, list(CASE WHEN have >= {lines.CONSTANT} * every THEN token END ORDER BY place) AS shape FROM r WHERE rn = 1 GROUP BY leaf),
-m AS (SELECT leaf, tokens FROM v JOIN shape USING (leaf) WHERE len(list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = shape[i])) >= {lines.SIMILAR} * len(tokens)),
-k AS (SELECT l.doc_id, l.text, l.pos, CASE WHEN m.tokens IS NULL THEN 'own ' || array_to_string(l.tokens, ' ') ELSE 'leaf ' || array_to_string(m.leaf, ' ') END AS template FROM l LEFT JOIN m USING (tokens) WHERE real),
-g AS (SELECT template, min((doc_id, pos)) AS first FROM k GROUP BY template HAVING count(DISTINCT text) >= {lines.MIN_DOCUMENTS}),
-x AS (SELECT doc_id, text, pos FROM k JOIN g USING (template) WHERE (doc_id, pos) <> first),
+v AS (SELECT leaf, masked, tokens, len(tokens) - {lines.LEADING} - greatest(1, len(tokens) // {lines.VARIABLE_SHARE}) AS n_kept FROM w JOIN f USING (leaf)),
+p AS (SELECT leaf, masked, n_kept, unnest(tokens) AS token, unnest(range(len(tokens))) AS place FROM v WHERE n_kept >= {lines.WORDS}),
+q AS (SELECT *, count(*) OVER (PARTITION BY leaf, place, token) AS have FROM p WHERE place >= {lines.LEADING}),
+r AS (SELECT *, row_number() OVER (PARTITION BY leaf, masked ORDER BY have DESC, place) AS rn FROM q),
+c AS (SELECT leaf, masked, list(token) AS words, string_agg(place || ' ' || token, ' ' ORDER BY place) AS constant FROM r WHERE rn <= n_kept GROUP BY ALL),
+m AS (SELECT masked, 'leaf ' || array_to_string(leaf, ' ') || ': ' || constant AS template FROM c WHERE len({_WORDY.format("words")}) >= {lines.WORDS}),
+k AS (SELECT l.doc_id, l.text, l.pos, CASE WHEN l.alone THEN 'alone ' || raw ELSE coalesce(m.template, 'own ' || l.masked) END AS template FROM l LEFT JOIN m ON m.masked = l.masked AND NOT l.alone WHERE real
+      UNION ALL SELECT doc_id, text, pos, 'words ' || raw FROM l WHERE real AND len(tokens) >= {lines.LONG}),
+g AS (SELECT template, min((doc_id, pos)) AS first FROM k GROUP BY template HAVING count(DISTINCT text) >= CASE WHEN template LIKE 'words %' THEN {lines.MIN_LONG} ELSE {lines.MIN_DOCUMENTS} END),
+x AS (SELECT DISTINCT doc_id, text, pos FROM k JOIN g USING (template) WHERE (doc_id, pos) <> first),
 o AS (SELECT l.doc_id, l.text, string_agg(line, chr(10) ORDER BY pos) FILTER (x.pos IS NULL) AS kept, CAST(count(*) AS INT) AS n_lines, CAST(count(x.pos) AS INT) AS n_dropped FROM l LEFT JOIN x USING (doc_id, text, pos) GROUP BY ALL)
 SELECT d.doc_id, CASE WHEN n_dropped = 0 THEN d.text ELSE coalesce(kept, '') END AS text, n_lines, n_dropped FROM documents d JOIN o ON d.doc_id = o.doc_id AND coalesce(d.text, '') = o.text
 """
