@@ -40,6 +40,56 @@ def test_held_out_labels_are_not_read(docs, labels):
     assert (a.score == b.score).all()
 
 
+def plain_nnpu(p, u, prior, size):
+    """The fit by dense matrices, text by text gradients and its own Adam, on the same batches."""
+    dense = lambda rows: np.array([[float(j in set(r.tolist())) for j in range(size)] for r in rows])
+    xp, xu = dense(p), dense(u)
+    rng, w, b = np.random.default_rng(5), np.zeros(size), np.log(prior / (1 - prior))
+    m, v, t = np.zeros(size + 1), np.zeros(size + 1), 0
+    for _ in range(toxicity.EPOCHS):
+        in_p, in_u = rng.permutation(len(p)), rng.permutation(len(u))
+        for a, c in zip(np.array_split(in_p, toxicity.STEPS), np.array_split(in_u, toxicity.STEPS), strict=True):
+            as_positive = as_negative = unlabelled = 0.0
+            g_pos, g_neg, g_unl = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+            for row in xp[a]:
+                s = 1 / (1 + np.exp(-(row @ w + b)))
+                as_positive += -np.log(s) / len(a)
+                as_negative += -np.log(1 - s) / len(a)
+                g_pos += (s - 1) * np.append(row, 1) / len(a)
+                g_neg += s * np.append(row, 1) / len(a)
+            for row in xu[c]:
+                s = 1 / (1 + np.exp(-(row @ w + b)))
+                unlabelled += -np.log(1 - s) / len(c)
+                g_unl += s * np.append(row, 1) / len(c)
+            negatives = unlabelled - prior * as_negative
+            g = prior * g_pos + g_unl - prior * g_neg if negatives >= 0 else -(g_unl - prior * g_neg)
+            g = g + toxicity.SHRINK * np.append(w, 0)
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            step = toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            w, b = w - step[:size], b - step[size]
+    return w, b
+
+
+def test_fit_and_scores_by_a_plain_version():
+    rng = np.random.default_rng(2)
+    p = [np.unique(np.append(rng.integers(1, 12, 3), 0)) for _ in range(24)]
+    u = [np.unique(rng.integers(1, 12, 3)) for _ in range(60)] + [np.unique(np.append(rng.integers(1, 12, 3), 0)) for _ in range(8)]
+    for prior in (0.05, 0.4):  # the bracket of the risk stays above zero, and falls below
+        w, b = toxicity.fit_nnpu(p, u, prior, 12)
+        want_w, want_b = plain_nnpu(p, u, prior, 12)
+        assert np.allclose(w, want_w, atol=1e-4) and abs(b - want_b) < 1e-4  # Adam amplifies rounding
+    words = ["alpha", "beta", "gamma", "delta"]
+    from tidemark.llm.linear import distinct_buckets
+
+    of = [int(distinct_buckets([x])[1][np.isin(distinct_buckets([x])[1], distinct_buckets([f"{x} zz"])[1])][0]) for x in words]
+    model = toxicity.Model(np.array(sorted(of)), np.array([1.0, -2.0, 0.5, 0.25]), -0.3)
+    weight = dict(zip(sorted(of), [1.0, -2.0, 0.5, 0.25], strict=True))
+    for text in ("", "alpha", "beta gamma beta", "delta alpha unknown"):
+        total = -0.3 + sum(weight[of[i]] for i, x in enumerate(words) if x in text.split())
+        assert abs(model.scores([text], model.dense())[0] - 1 / (1 + np.exp(-total))) < 1e-6
+
+
 def test_non_negative_risk_stays_put():
     rng = np.random.default_rng(0)
     p = [np.unique(np.append(rng.integers(1, 50, 5), 0)) for _ in range(60)]
@@ -84,10 +134,59 @@ def test_posteriors(docs, labels):
     wp = weight(paths["size"], paths["sum"] / paths["size"], center)
     at = pd.MultiIndex.from_frame(got[["host", "path"]])
     n, s, c = (x.reindex(at).to_numpy() for x in (paths["size"], paths["sum"], center))
-    path_share = (s - good + wp * c) / (n - 1 + wp)
+    hn, hs = (hosts[k].reindex(got.host).to_numpy() for k in ("size", "sum"))
+    others = (good.sum() - good) / (len(good) - 1)
+    host_share = (hs - good + wh * others) / (hn - 1 + wh)  # without the document, at every level
+    path_share = (s - good + wp * host_share) / (n - 1 + wp)
     logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
-    assert np.allclose(got.host_share, share.reindex(got.host)) and np.allclose(got.path_share, path_share)
-    assert np.allclose(logit(got.score.clip(1e-9, 1 - 1e-9)), np.clip(got.evidence + logit(path_share) - logit(base), -20.7, 20.7), atol=1e-3)
+    assert np.allclose(got.host_share, host_share) and np.allclose(got.path_share, path_share)
+    assert np.allclose(logit(got.score.clip(1e-9, 1 - 1e-9)), np.clip(got.evidence + logit(path_share) - logit(others), -20.7, 20.7), atol=1e-3)
+
+
+def plain_style(text):
+    """The style features, one by one."""
+    data = (text or "").encode()
+    words, lines, size = data.split(), data.split(b"\n"), max(1, len(data))
+    share = lambda keep: sum(map(keep, data)) / size
+    n, other = len(words), lambda b: b < 128 and not chr(b).isalnum() and not chr(b).isspace()
+    pairs = list(zip(words, words[1:], strict=False))
+    return [
+        np.log1p(n), len(data) / max(1, n), share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(other), share(lambda b: other(b) and chr(b) not in ".,;:'\"()-?"), share(lambda b: b >= 128),
+        sum(a == b for a, b in pairs) / len(pairs) if pairs else 0.0, 1 - len(set(words)) / max(1, n), 1 - len(set(pairs)) / len(pairs) if pairs else 0.0, 1 - len(set(lines)) / len(lines), np.log1p(size / len(lines)),
+    ]
+
+
+def test_evidence_by_a_plain_fit(docs, labels):
+    """Features, standardisation, products and the ridge logistic optimum, all anew."""
+    rows = {r.doc_id: plain_style(r.text) for r in docs.select("doc_id", "text").collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in rows}
+    x = np.array([rows[d] for d in sorted(known)])
+    y = np.array([known[d] for d in sorted(known)], float)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+
+    def design(v):
+        z = np.clip((np.array(v) - mean) / scale, -10, 10)
+        return np.array([*z, *(np.clip(z[i] * z[j], -30, 30) for i in range(len(z)) for j in range(i, len(z))), 1.0])
+
+    z = np.array([design(v) for v in x])
+    w = np.zeros(z.shape[1])
+    ridge = np.full(len(w), quality.RIDGE)
+    ridge[-1] = 1e-6
+    for _ in range(200):  # damped Newton on the penalised loss
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        grad = z.T @ (p - y) + ridge * w
+        w -= np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge), grad)
+        if np.abs(grad).max() < 1e-9:
+            break
+    got = quality.quality(docs, labels, F.col("source"), F.col("lang")).select("doc_id", "evidence").collect()
+    for r in got[::7]:
+        assert abs(r.evidence - np.clip(design(rows[r.doc_id]) @ w, -quality.MOST_ODDS, quality.MOST_ODDS)) < 1e-3
+
+
+def test_the_only_document_of_a_site_is_not_its_own_witness(spark):
+    df = spark.createDataFrame([(i, "good words " * 9, f"h{i}", "x") for i in range(4)], "doc_id long, text string, source string, lang string")
+    got = quality.quality(df, spark.createDataFrame([], "doc_id long, quality int"), F.col("source"), F.col("lang")).collect()
+    assert all(abs(r.host_share - 0.5) < 1e-9 and abs(r.path_share - 0.5) < 1e-9 for r in got)
 
 
 def test_a_bad_site_lowers_its_documents(spark, docs, labels):

@@ -19,7 +19,10 @@ either compared on the full sets or joined already: nothing is capped.
 
 Defined cases: null and empty texts have no shingles, are linked with nothing and kept;
 fewer than five words are one shingle; rows that share a doc_id are one document; rows
-without doc_id get component null and are kept. An empty table gives no rows.
+without doc_id get component null and are kept; of rows that share a doc_id the one with the
+least text, and of these with the least JSON, stays in distinct_documents; texts are sketched
+and compared whole, however long; other columns, whatever their names, are only passed on. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filtered_joins, rows_of, stage, texts
+from tidemark.llm.common import filtered_joins, quoted, rows_of, stage, texts
 from tidemark.llm.graph import components
 from tidemark.llm.words import combine, hash_words, multipliers, scramble, spaced_words
 
@@ -185,6 +188,7 @@ def _laid_out(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
 def _across(entries: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members (key, id, n, label) of one bucket whose labels differ."""
     sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "size")
+    sizes = stage(sizes, "sizes")
     mixed = stage(entries.join(sizes, "key"), "mixed")
     small = mixed.where(F.col("size") <= SMALL)
     other = small.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
@@ -218,7 +222,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = None
     if not entries.isEmpty():
-        pivots = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"))
+        # written, so that the join has no aggregation in its stage and a hot band key can be split
+        pivots = stage(entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn")), "pivots")
         pairs = entries.join(pivots, "key").where((F.col("id") != F.col("pid")) & _similar_size("n", "pn")).select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct()
         stars = components(_linked(pairs, sets))
         rest = entries.join(pivots.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
@@ -237,14 +242,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, counts): the documents of groups of two or more, counts for the one that stays."""
+    found = stage(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id", "kept").distinct(), "grouped")
+    groups = stage(found.where("not kept").select("component_id").distinct(), "groups")
+    return found.join(groups, "component_id", "left_semi").select("doc_id", F.col("kept").alias("counts"))
+
+
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns. Rows that share a
     doc_id are one document, of which one row with the least text stays."""
     removed = stage(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-removed")
-    left = docs.join(removed.hint("merge"), "doc_id", "left_anti")
+    left = docs.join(removed.hint("merge"), "doc_id", "left_anti").select(*quoted(docs))
     repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if not repeated.isEmpty():
-        again = left.join(repeated, "doc_id", "left_semi")
-        first = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
-        left = left.join(repeated, "doc_id", "left_anti").unionByName(first.select("row.*"))
-    return left.select(*docs.columns)
+        row = F.struct(*quoted(docs))
+        again = left.join(repeated, "doc_id", "left_semi").select(*quoted(docs))
+        first = again.groupBy("doc_id").agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.to_json(row))).alias("row"))
+        left = left.join(repeated, "doc_id", "left_anti").select(*quoted(docs)).unionByName(first.select("row.*"))
+    return left.select(*quoted(docs))

@@ -5,8 +5,9 @@ the log-odds of being good. Sites: documents lie in paths, paths in hosts. The s
 good text of a host is shrunk toward the global share, that of a path toward its host's, by
 prior weights that the data give (method of moments over sites: what site means differ by
 more than their sampling error). A document's posterior log-odds are its evidence plus what
-its path, without the document itself, adds to the global prior; a site of few documents
-adds next to nothing.
+its path adds to the global prior; a site of few documents adds next to nothing. The document
+itself is taken out of the sums of its path, its host and the whole corpus, so its evidence
+counts once.
 
 The fit uses at most MAX_LABELLED labelled rows, those whose ids have the least hashes; site
 statistics cover all documents. Sums per site are formed map-side, so a site with a third
@@ -14,7 +15,9 @@ of all rows costs no more than another.
 
 Defined cases: null host or path is the site ''; null and empty texts have zero features;
 without labels of both kinds the evidence is 0 and all are kept; repeated rows each count;
-an empty table gives no rows.
+of labels that share a doc_id the greatest holds, of texts that share one the one of least
+features is the sample's; the only document of a corpus has share 0.5; texts of any length are
+read whole; other columns, whatever their names, are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reach_workers, stage, whole_text
+from tidemark.llm.common import least_hashed, reach_workers, stage, whole_text
 from tidemark.llm.words import hash_words
 
 MAX_LABELLED = 12_000
@@ -98,10 +101,11 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     spark = docs.sparkSession
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
-    known = stage(known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED), "quality-sample")
+    sample = stage(least_hashed(known, "doc_id", MAX_LABELLED), "quality-ids")
+    known = stage(known.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality")), "quality-sample")
     reach_workers(spark)
     picked = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
-    found = stage(picked.mapInArrow(styles, "doc_id long, style array<double>"), "quality-styles").dropDuplicates(["doc_id"])
+    found = stage(picked.mapInArrow(styles, "doc_id long, style array<double>"), "quality-styles").groupBy("doc_id").agg(F.min("style").alias("style"))
     rows = found.join(F.broadcast(known), "doc_id").orderBy("doc_id").toPandas()
     if rows["quality"].nunique() < 2:
         return None
@@ -154,11 +158,16 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> D
     total = hosts.agg(F.sum("n"), F.sum("good")).first()
     base = (total[1] / total[0]) if total[0] else 0.5
     host_weight = prior_weight(hosts, base)
-    shares = hosts.select("host", ((F.col("good") + host_weight * base) / (F.col("n") + host_weight)).alias("host_share"))
+    shares = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), ((F.col("good") + host_weight * base) / (F.col("n") + host_weight)).alias("center"))
     sites = paths.join(shares, "host")
-    path_weight = prior_weight(sites, F.col("host_share"))
+    path_weight = prior_weight(sites, F.col("center"))
     sites = stage(sites.withColumnRenamed("n", "site_n").withColumnRenamed("good", "site_good"), "quality-sites")
-    own = (F.col("site_good") - good + path_weight * F.col("host_share")) / (F.col("site_n") - 1 + path_weight)
-    out = scored.join(sites, ["host", "path"]).withColumn("path_share", own)
-    score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_share")) - _logit(F.lit(float(base))))))
+    n, all_good = int(total[0] or 0), float(total[1] or 0.0)
+    # each level without the document itself
+    others = (F.lit(all_good) - good) / (n - 1) if n > 1 else F.lit(0.5)
+    others = F.least(F.greatest(others, F.lit(0.0)), F.lit(1.0))
+    host_share = (F.greatest(F.col("host_good") - good, F.lit(0.0)) + host_weight * others) / (F.col("host_n") - 1 + host_weight)
+    out = scored.join(sites, ["host", "path"]).withColumn("base", others).withColumn("host_share", host_share)
+    out = out.withColumn("path_share", (F.greatest(F.col("site_good") - good, F.lit(0.0)) + path_weight * F.col("host_share")) / (F.col("site_n") - 1 + path_weight))
+    score = 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_share")) - _logit(F.col("base")))))
     return out.withColumn("score", score).select("doc_id", "host", "path", "evidence", "host_share", "path_share", "score", (F.col("score") >= 0.5).alias("keep"))

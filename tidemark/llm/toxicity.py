@@ -14,8 +14,10 @@ labels, lang, source and doc_id are never inputs of a score. Rows held out (crc3
 as text, mod 4, is 2) give neither labels nor text to the fit.
 
 Defined cases: null and empty texts get the score of a text without words; without any
-confirmed example all scores are 0; rows that repeat are scored one by one; an empty table
-gives no rows.
+confirmed example all scores are 0; rows that repeat are scored one by one; of texts that
+share a doc_id the one with the fewest features, then with the least hash of them, is the
+sample's; a doc_id is confirmed if any of its labels is 1; texts of any length are scored whole;
+other columns, whatever their names, are only passed on; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import reach_workers, stage, texts
+from tidemark.llm.common import least_hashed, reach_workers, stage, texts
 from tidemark.llm.linear import BUCKETS, FEATURES_SCHEMA, GROUP, Adam, Rows, distinct_buckets, features, sigmoid
 
 MAX_POSITIVE = 4_000
@@ -110,12 +112,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     nothing = Model(np.empty(0, np.int64), np.empty(0), -np.inf)
     if not n:
         return nothing
-    by_hash = F.xxhash64("doc_id")
-    p = known.where("toxic = 1").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(MAX_POSITIVE).withColumn("confirmed", F.lit(True))
-    u = docs.select("doc_id").where("doc_id is not null").where(~held_out()).orderBy(by_hash, "doc_id").limit(MAX_UNLABELLED).distinct().withColumn("confirmed", F.lit(False))
+    p = least_hashed(known.where("toxic = 1"), "doc_id", MAX_POSITIVE).withColumn("confirmed", F.lit(True))
+    u = least_hashed(docs.select("doc_id").where(~held_out()), "doc_id", MAX_UNLABELLED).withColumn("confirmed", F.lit(False))
     chosen = stage(p.unionByName(u), "toxic-sample")
     picked = texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = stage(picked.mapInArrow(features, FEATURES_SCHEMA), "toxic-features").dropDuplicates(["doc_id"])
+    found = stage(picked.mapInArrow(features, FEATURES_SCHEMA), "toxic-features")
+    found = found.groupBy("doc_id").agg(F.min_by("buckets", F.struct(F.size("buckets"), F.xxhash64("buckets"))).alias("buckets"))
     found = stage(found.join(F.broadcast(chosen), "doc_id").coalesce(SAMPLE_FILES), "toxic-rows")
     n, m = found.agg(F.count_if("confirmed"), F.count_if(~F.col("confirmed"))).first()
     if not n or not m:
