@@ -7,9 +7,11 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import media, quality, toxicity
+from tidemark.llm.linear import BUCKETS
 
 
 def auc(score, y):
@@ -80,9 +82,7 @@ def test_fit_and_scores_by_a_plain_version():
         want_w, want_b = plain_nnpu(p, u, prior, 12)
         assert np.allclose(w, want_w, atol=1e-4) and abs(b - want_b) < 1e-4  # Adam amplifies rounding
     words = ["alpha", "beta", "gamma", "delta"]
-    from tidemark.llm.linear import distinct_buckets
-
-    of = [int(distinct_buckets([x])[1][np.isin(distinct_buckets([x])[1], distinct_buckets([f"{x} zz"])[1])][0]) for x in words]
+    of = [xxhash.xxh3_64_intdigest(x.encode()) % BUCKETS for x in words]
     model = toxicity.Model(np.array(sorted(of)), np.array([1.0, -2.0, 0.5, 0.25]), -0.3)
     weight = dict(zip(sorted(of), [1.0, -2.0, 0.5, 0.25], strict=True))
     for text in ("", "alpha", "beta gamma beta", "delta alpha unknown"):
@@ -221,7 +221,13 @@ def test_media(which, request):
     by_text = {}
     for r in got:
         assert by_text.setdefault(r.payload_sha256, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
-        assert r.caption == (None if r.doc_id is None else str(r.doc_id)) and r.pos == 0
+        assert r.caption == (None if r.doc_id is None else str(r.doc_id))
+    lines = lambda t: [" ".join(x.split()) for x in (t or "").split("\n")] if t else []
+    shown = lambda xs: [x for x in xs if x]
+    places = [(d, len(shown(lines(t)[: (len(lines(t)) + 1) // 2])), len(shown(lines(t))) + 1, zlib.crc32("\n".join(shown(lines(t))).encode())) for d, t in df.select("doc_id", "text").collect()]
+    assert Counter((r.doc_id, r.pos, r.n_items, r.texts_crc32) for r in got) == Counter(places)
+    if which == "docs":
+        assert sum(r.pos > 0 and r.n_items > 2 for r in got) > 0.9 * len(got)
 
 
 def test_png_round_trip_and_damage():
@@ -245,6 +251,25 @@ def test_interleaving_keeps_order_positions_and_captions(spark):
     assert found == [(1, 2, "cap & tion", 576), (1, 4, "side", 576), (4, 0, None, None)]
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<figure><figcaption>first</figcaption><img src='a'></figure>after", [("media", None, "a", "first"), ("text", "after", None, None)]),
+    ("<figure><img src='a'><img src='b'><figcaption>both <p>of</p> them</figure>after", [("media", None, "a", "both of them"), ("media", None, "b", "both of them"), ("text", "after", None, None)]),
+    ("<figure><figcaption>no image</figcaption></figure>after", [("text", "no image", None, None), ("text", "after", None, None)]),
+    ("<figcaption>loose</figcaption><p>after", [("text", "loose", None, None), ("text", "after", None, None)]),
+    ("<figure><img src='a'><figcaption>open</figure><p>one<p>two", [("media", None, "a", "open"), ("text", "one", None, None), ("text", "two", None, None)]),
+    ("<p>a &lt;b&gt; &amp;amp; c</p>", [("text", "a <b> &amp; c", None, None)]),
+])
+def test_captions_and_figures(html, want):
+    assert [(i["kind"], i["text"], i["ref"], i["caption"]) for i in media.parse_html(html)] == want
+
+
+def test_documents_survive_their_page():
+    for text in ("one\n<b>&amp; two</b>\n\nthree", "a", "\n", "x & y < z > \" '\n&#65;\n</p><img src=q>\n<!-- -->", "tab\tand  spaces"):
+        items = media.parse_html(media.page_of(text, "d", "7"))
+        assert [i["text"] for i in items if i["kind"] == "text"] == [" ".join(x.split()) for x in text.split("\n") if x.split()]
+        assert [(i["ref"], i["caption"]) for i in items if i["kind"] == "media"] == [("sha256:d", "7")]
+
+
 def test_real_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = media.interleave(pages).collect()

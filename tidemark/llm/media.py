@@ -7,10 +7,15 @@ addressed by the payload's SHA-256. resolve joins the references to what was rea
 the stored bytes; the payload itself is never shuffled, and positions and captions stay as
 they were parsed.
 
-A whole text is a payload as UTF-8, with bytes 255 up to a positive multiple of PAGE.
-Defined cases: null and empty texts are PAGE bytes 255; null html is an empty sequence;
-a reference without payload resolves to nulls; repeated rows each give a row; an empty
-table gives no rows.
+The query's pages hold the documents: each line is a paragraph, and after the first half of
+them, rounded up, stands a figure with the whole text as its image and the doc_id as its
+caption. A whole text is a payload as UTF-8, with bytes 255 up to a positive multiple of PAGE.
+Defined cases: null and empty texts are PAGE bytes 255 and pages of a figure alone; null html
+is an empty sequence; a figure's caption belongs to all its media, wherever in the figure it
+stands, and is a run of text where the figure has none; a caption outside a figure is text if
+it ends, else nothing; a reference without payload resolves to nulls; repeated rows each give
+a row; texts of any length are one payload and one page; other columns, whatever their names,
+are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path, reach_workers, rows_of, texts
+from tidemark.llm.common import fresh_path, reach_workers, rows_of, stage, texts
 
 PAGE = 576
 ZLIB_LEVEL = 3
@@ -47,7 +53,8 @@ class Sequence(HTMLParser):
         self.items: list[dict] = []
         self.run: list[str] = []
         self.hidden = 0
-        self.figure: list[int] = []
+        self.figure: int | None = None
+        self.said: list[str] = []
         self.caption: list[str] | None = None
 
     def end_run(self) -> None:
@@ -63,9 +70,10 @@ class Sequence(HTMLParser):
         if tag in HIDDEN:
             self.hidden += 1
         elif tag == "figure":
-            self.end_run()
-            self.figure = [len(self.items)]
+            self.end_figure()
+            self.figure = len(self.items)
         elif tag == "figcaption":
+            self.end_caption()
             self.end_run()
             self.caption = []
         elif tag in MEDIA:
@@ -73,23 +81,43 @@ class Sequence(HTMLParser):
             if named.get("src"):
                 self.end_run()
                 self.add("media", ref=named["src"], caption=named.get("alt") or None)
-        elif tag in BLOCKS:
+        elif tag in BLOCKS and self.caption is None:
             self.end_run()
 
     def handle_endtag(self, tag):
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.items[self.figure[0] if self.figure else len(self.items) :]:
-                if item["kind"] == "media" and said:
-                    item["caption"] = said
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag == "figure":
+            self.end_figure()
+        elif tag in BLOCKS and self.caption is None:
             self.end_run()
-            self.figure = []
-        elif tag in BLOCKS:
+
+    def end_caption(self) -> None:
+        """What the caption says is kept for the figure; outside of one it is a run of text."""
+        if self.caption is None:
+            return
+        said = " ".join("".join(self.caption).split())
+        self.caption = None
+        if self.figure is not None:
+            self.said.append(said)
+        elif said:
+            self.add("text", text=said)
+
+    def end_figure(self) -> None:
+        if self.figure is None:
             self.end_run()
+            return
+        self.end_caption()
+        self.end_run()
+        said, media = " ".join(x for x in self.said if x), [i for i in self.items[self.figure :] if i["kind"] == "media"]
+        if said and media:
+            for item in media:
+                item["caption"] = said
+        elif said:
+            self.add("text", text=said)
+        self.figure, self.said = None, []
 
     def handle_data(self, data):
         if not self.hidden:
@@ -100,7 +128,7 @@ def parse_html(html: str | None) -> list[dict]:
     parser = Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.end_run()
+    parser.end_figure()
     return parser.items
 
 
@@ -154,18 +182,35 @@ def feature_of(samples: np.ndarray) -> str:
     return f"{mean:.4f},{spread:.4f}," + ",".join(f"{c / n:.4f}" for c in counts.reshape(16, 16).sum(axis=1).tolist())
 
 
-_PAGE = pa.schema([("doc_id", pa.int64()), ("html", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary())])
+def page_of(text: str, digest: str, caption: str) -> str:
+    """A text as a page: a paragraph a line, and the figure after the first half of them."""
+    lines = text.split("\n") if text else []
+    figure = f'<figure><img src="{SCHEME}{digest}"><figcaption>{escape(caption)}</figcaption></figure>'
+    half = (len(lines) + 1) // 2
+    paragraphs = [f"<p>{escape(x, quote=False)}</p>" for x in lines]
+    return "<!DOCTYPE html><html><body>" + "\n".join([*paragraphs[:half], figure, *paragraphs[half:]]) + "</body></html>"
+
+
+_STORE = pa.schema([("digest", pa.string()), ("media", pa.binary())])
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, 500):
+            payloads = [payload_of(t) for t in whole.slice(start, 500).column("text").to_pylist()]
+            yield pa.record_batch([pa.array([hashlib.sha256(x).hexdigest() for x in payloads]), pa.array([to_png(x) for x in payloads], pa.binary())], schema=_STORE)
+
+
+_PAGE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("html", pa.string())])
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, 500):
             out = []
             for doc_id, text in rows_of(whole.slice(start, 500), "doc_id", "text"):
-                payload = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
-                html = f'<figure><img src="{SCHEME}{digest}"><figcaption>{"" if doc_id is None else doc_id}</figcaption></figure>'
-                out.append((doc_id, html, digest, len(text.encode("utf-8", "surrogatepass")), to_png(payload)))
+                digest = hashlib.sha256(payload_of(text)).hexdigest()
+                out.append((doc_id, len(text.encode("utf-8", "surrogatepass")), page_of(text, digest, "" if doc_id is None else str(doc_id))))
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _PAGE, strict=True)], schema=_PAGE)
 
 
@@ -213,7 +258,8 @@ def read_payloads(store: DataFrame) -> DataFrame:
 
 def resolve(sequences: DataFrame, payloads: DataFrame) -> DataFrame:
     """A row per media item: the sequence's own columns, pos, caption, and by its digest the
-    payload's columns. Adaptive execution splits the references to a much copied payload."""
+    payload's columns. Given payloads that are a written table, adaptive execution can split
+    the references to a much copied payload."""
     own = [c for c in sequences.columns if c != "items"]
     items = sequences.select(*own, F.explode("items").alias("item")).where("item.kind = 'media'")
     refs = items.select(*own, "item.pos", "item.caption", F.regexp_replace("item.ref", f"^{SCHEME}", "").alias("digest"))
@@ -221,16 +267,24 @@ def resolve(sequences: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def store_documents(docs: DataFrame) -> DataFrame:
-    """Write every document's payload and page; return the table (doc_id, html, digest, n_bytes, media)."""
+    """Write every document's payload; return the table (digest, media)."""
     spark = docs.sparkSession
     path = fresh_path(spark, "media")
-    stored = texts(docs).mapInArrow(_stored, "doc_id long, html string, digest string, n_bytes long, media binary")
+    stored = texts(docs).mapInArrow(_stored, "digest string, media binary")
     stored.write.option("compression", "none").parquet(path)
     return spark.read.schema(stored.schema).parquet(path)
 
 
+def pages_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, html): every document as a page with its payload's reference."""
+    return texts(docs).mapInArrow(_pages, "doc_id long, n_bytes long, html string")
+
+
 def media_columns(docs: DataFrame) -> DataFrame:
-    """What query op4 returns."""
-    store = store_documents(docs)
-    found = resolve(interleave(store, "html", ("doc_id", "n_bytes")), read_payloads(store))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    """What query op4 returns, with the place and caption of the payload in the document's
+    sequence, the number of its items, and a sum of its runs of text, a line each."""
+    payloads = stage(read_payloads(store_documents(docs)), "payloads")
+    sequences = interleave(pages_of(docs), "html", ("doc_id", "n_bytes"))
+    runs = F.array_join(F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"]), "\n")
+    found = resolve(sequences.select("*", F.size("items").alias("n_items"), F.crc32(runs.cast("binary")).alias("texts_crc32")), payloads)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "n_items", "texts_crc32")
