@@ -63,6 +63,14 @@ def test_secrets(which, request, spark):
         assert all("live" not in r.spans and r.n_shared == 3 for r in got if r.doc_id < 10)
 
 
+def test_values_of_many_repositories_are_shared(spark):
+    value = "AKIA" + "QWERTYUIOP12345678"
+    rows = [(i, f"key {value}", "one", f"repo{i}") for i in range(4)] + [(10 + i, f"key {value[::-1]}x AKIA{value[4:][::-1]}", "two", f"repo{i % 3}") for i in range(9)]
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, o string, r string"), F.col("o"), F.col("r")).collect()}
+    assert all(got[i].n_live == 0 and (got[i].max_owners, got[i].max_repositories) == (1, 4) for i in range(4))
+    assert all(got[10 + i].n_live > 0 and (got[10 + i].max_owners, got[10 + i].max_repositories) == (1, 3) for i in range(9))
+
+
 def test_secret_scan_is_native(docs):
     plan = secrets.secrets(docs, F.col("source"), F.col("lang"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -98,6 +106,12 @@ def test_licence_votes(spark):
     assert got[4].score == 0 and got[1].score == got[2].score == 1
 
 
+def test_notices_back_to_back_are_each_found(spark):
+    rows = [(1, "All rights reserved. All rights reserved."), (2, "All rights reserved.\nAll rights reserved.\nAll rights reserved")]
+    got = {r.doc_id: r for r in license_scan.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].labels, got[i].n_spans) for i in (1, 2)] == [("all-rights-reserved", 2), ("all-rights-reserved", 3)]
+
+
 # benchmark passages
 
 

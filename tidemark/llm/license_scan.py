@@ -7,8 +7,9 @@ don't part a span; a span is verified by the share of the template's words that
 cover, and by its length.
 
 The base phrases are counted at every place. Defined cases: null and empty texts have no
-words, labels '' and score 0; repeated rows are scanned one by one; an empty table gives
-no rows. No text and no array of hashes is shuffled or written.
+words, labels '' and score 0; repeated rows are scanned one by one; spans that begin together
+are merged in the order of their diagonals; texts of any length are scanned whole; other
+columns, whatever their names, are left out; an empty table gives no rows. No text and no array of hashes is shuffled or written.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tidemark.llm.common import stage, texts
 from tidemark.llm.words import Joined
 
 K = 3
-#: Diagonals that differ by this much, with spans this near, are one span.
+#: Diagonals that differ by this much, and less than the template's length, with spans this near are one span.
 MERGE_SHIFT, MERGE_GAP = 3, 12
 MIN_COVERED = 0.8
 MAX_STRETCH = 1.5
@@ -107,7 +108,8 @@ def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     voted = hits.withColumn("diagonal", F.col("at") - F.col("template_at")).groupBy("uid", "template", "label", "template_words", "diagonal")
     voted = voted.agg(F.min("at").alias("low"), (F.max("at") + K - 1).alias("high"), F.collect_set("template_at").alias("votes"))
     order = Window.partitionBy("uid", "template").orderBy("low", "diagonal")
-    parted = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > MERGE_SHIFT) | (F.col("low") - F.lag("high").over(order) > MERGE_GAP)
+    shift = F.least(F.lit(MERGE_SHIFT), F.col("template_words") - 1)  # so notices back to back stay apart
+    parted = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > shift) | (F.col("low") - F.lag("high").over(order) > MERGE_GAP)
     spans = voted.withColumn("parted", F.coalesce(parted, F.lit(False)).cast("int")).withColumn("span", F.sum("parted").over(order))
     spans = spans.groupBy("uid", "template", "label", "template_words", "span").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.flatten(F.collect_list("votes")).alias("votes"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("votes", lambda v: F.sequence(v, v + K - 1)))))

@@ -66,7 +66,7 @@ ng AS (SELECT template, label, len(w) AS size, w[i:i + {_K - 1}] AS g, i - 1 AS
 dg AS (SELECT uid, w[i:i + {_K - 1}] AS g, i - 1 AS place FROM (SELECT *, unnest(range(1, greatest(len(w) - {_K - 2}, 1))) AS i FROM d)),
 h AS (SELECT uid, template, label, size, place, template_at, place - template_at AS diagonal FROM dg JOIN ng USING (g)),
 v AS (SELECT uid, template, label, size, diagonal, min(place) AS low, max(place) + {_K - 1} AS high, list(DISTINCT template_at) AS votes FROM h GROUP BY ALL),
-c AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) > {lic.MERGE_SHIFT} OR low - lag(high) OVER o > {lic.MERGE_GAP} THEN 1 ELSE 0 END AS parted FROM v WINDOW o AS (PARTITION BY uid, template ORDER BY low, diagonal)),
+c AS (SELECT *, CASE WHEN abs(diagonal - lag(diagonal) OVER o) > least({lic.MERGE_SHIFT}, size - 1) OR low - lag(high) OVER o > {lic.MERGE_GAP} THEN 1 ELSE 0 END AS parted FROM v WINDOW o AS (PARTITION BY uid, template ORDER BY low, diagonal)),
 e AS (SELECT *, sum(parted) OVER (PARTITION BY uid, template ORDER BY low, diagonal) AS span FROM c),
 s AS (SELECT uid, template, label, size, span, min(low) AS first, max(high) AS last, flatten(list(votes)) AS votes FROM e GROUP BY ALL),
 k AS (SELECT *, len(list_distinct(flatten(list_transform(votes, lambda x: range(x, x + {_K}))))) / size AS covered FROM s),
