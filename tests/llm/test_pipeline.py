@@ -1,6 +1,7 @@
 """The pipeline's stages on their own inputs, and as a whole."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -25,8 +26,12 @@ def test_each_stage(spark):
     assert {r.doc_id for r in one.collect()} == {d for d, p in scores.items() if not p} and one.columns == columns
 
     two = apply["line_dedup"](spark, one, SF).cache()
-    want = brute_lines([tuple(r) for r in one.select("doc_id", "text").collect()])
-    assert {(r.doc_id, r.text) for r in two.collect()} == {(d, "\n".join(x)) for (d, _), x in want.items()} and two.columns == columns
+    rows = [tuple(r) for r in one.select("doc_id", "text").collect()]
+    group = brute(rows)
+    alone = {d: group[d] == d for d in group if Counter(group.values())[group[d]] > 1}
+    want = brute_lines(rows, alone)
+    shortened = {(d, "\n".join(x)) for (d, t), x in want.items() if len(x) == len(t.split("\n")) or "\n".join(x).strip(" \n")}
+    assert {(r.doc_id, r.text) for r in two.collect()} == shortened and two.columns == columns and alone
 
     three = apply["near_dedup"](spark, two, SF).cache()
     assert {r.doc_id for r in three.collect()} == set(brute([tuple(r) for r in two.select("doc_id", "text").collect()]).values()) and three.columns == columns
@@ -49,6 +54,17 @@ def test_each_stage(spark):
     assert sorted(whole) == sorted(want)
 
 
+def test_no_near_duplicate_of_the_raw_texts_is_packed(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    apply = dict(corpus_pipeline.STAGES)
+    left = apply["toxicity"](spark, docs, sf)
+    removed = {d for d, c in brute([tuple(r) for r in left.select("doc_id", "text").collect()]).items() if d != c}
+    blank = {r.doc_id for r in docs.collect() if not (r.text or "").strip()}
+    packed = {r.doc_id: r.doc_tokens for r in corpus_pipeline.run(spark, sf).collect()}
+    assert removed and not removed & set(packed) and all(n > 1 or d in blank for d, n in packed.items())
+
+
 def test_odd_rows(spark, odd, none):
     for df in (odd, none):
         for _, apply in corpus_pipeline.STAGES:
