@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import media, quality, toxicity
-from tidemark.llm.linear import BUCKETS
+from tidemark.llm.linear import BUCKETS, distinct_buckets
 
 
 def auc(score, y):
@@ -90,6 +90,32 @@ def test_fit_and_scores_by_a_plain_version():
         assert abs(model.scores([text], model.dense())[0] - 1 / (1 + np.exp(-total))) < 1e-6
 
 
+def test_telling_words_are_counted_over_all_texts(docs, labels, monkeypatch):
+    """Whatever the sample's bounds, the buckets are those that plain counts of every text give."""
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 7)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 20)
+    kept = lambda d: zlib.crc32(str(d).encode()) % 4 != 2
+    toxic = {r.doc_id for r in labels.collect() if r.toxic == 1 and kept(r.doc_id)}
+    p, u, n, m = Counter(), Counter(), 0, 0
+    for r in docs.collect():
+        if kept(r.doc_id):
+            found = distinct_buckets([r.text or ""])[1].tolist()
+            u.update(found)
+            m += 1
+            if r.doc_id in toxic:
+                p.update(found)
+                n += 1
+    want = []
+    for bucket, times in p.items():
+        share = (times + u[bucket]) / (n + m)
+        error = (max(share * (1 - share), 1e-12) * (1 / n + 1 / m)) ** 0.5
+        if times >= toxicity.MIN_TEXTS and abs(times / n - u[bucket] / m) >= toxicity.MIN_Z * error:
+            want.append(bucket)
+    got = toxicity.fit(docs, labels)
+    assert len(want) > 0 and got.buckets.tolist() == sorted(want)
+    assert len(got.weights) == len(want) and np.isfinite(got.weights).all()
+
+
 def test_non_negative_risk_stays_put():
     rng = np.random.default_rng(0)
     p = [np.unique(np.append(rng.integers(1, 50, 5), 0)) for _ in range(60)]

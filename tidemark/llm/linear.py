@@ -20,6 +20,10 @@ GROUP = 200
 
 FEATURES_SCHEMA = "doc_id long, buckets array<int>"
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("buckets", pa.list_(pa.int32()))])
+COUNTS_SCHEMA = "bucket int, texts long"
+_COUNTS = pa.schema([("bucket", pa.int32()), ("texts", pa.int64())])
+#: The bucket under which text_counts counts all texts, those without words too.
+ALL_TEXTS = -1
 
 
 def _buckets(word: bytes) -> bytes:
@@ -55,6 +59,21 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], schema=_FEATURES)
 
 
+def text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of a task's texts each bucket is: at most BUCKETS + 1 rows a task."""
+    counts, n = np.zeros(BUCKETS, np.int32), 0
+    for whole in batches:
+        for start in range(0, whole.num_rows, GROUP):
+            part = whole.slice(start, GROUP)
+            np.add.at(counts, distinct_buckets(part.column("text").to_pylist())[1], 1)
+            n += part.num_rows
+    yield pa.record_batch([pa.array([ALL_TEXTS], pa.int32()), pa.array([n], pa.int64())], schema=_COUNTS)
+    held = np.flatnonzero(counts)
+    for start in range(0, len(held), 1 << 16):
+        some = held[start : start + (1 << 16)]
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], schema=_COUNTS)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 

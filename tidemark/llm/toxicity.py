@@ -8,15 +8,17 @@ examples P and unlabelled text U. With the share of toxic text, the prior p, the
 and where the bracket falls below zero its gradient is followed upwards, so the model can't
 drive the negatives' estimated risk under zero by learning P by heart.
 
-The fit uses at most MAX_POSITIVE confirmed and MAX_UNLABELLED unlabelled texts, those whose
-ids have the least hashes; the prior comes from all labelled rows. Every text is scored.
+Which features tell is decided by how many of all confirmed texts and of all unlabelled ones have
+them, and the prior comes from all labelled rows. Only the gradient steps use a sample: at most
+MAX_POSITIVE confirmed and MAX_UNLABELLED unlabelled texts, those whose ids have the least hashes.
+Every text is scored.
 labels, lang, source and doc_id are never inputs of a score. Rows held out (crc32 of the id
 as text, mod 4, is 2) give neither labels nor text to the fit.
 
 Defined cases: null and empty texts get the score of a text without words; without any
 confirmed example all scores are 0; rows that repeat are scored one by one; of texts that
 share a doc_id the one with the fewest features, then with the least hash of them, is the
-sample's; a doc_id is confirmed if any of its labels is 1; texts of any length are scored whole;
+sample's, and each counts where features are counted, as do rows without doc_id; a doc_id is confirmed if any of its labels is 1; texts of any length are scored whole;
 other columns, whatever their names, are only passed on; an empty table gives no rows.
 """
 
@@ -31,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import least_hashed, reach_workers, stage, texts
-from tidemark.llm.linear import BUCKETS, FEATURES_SCHEMA, GROUP, Adam, Rows, distinct_buckets, features, sigmoid
+from tidemark.llm.common import filtered_joins, least_hashed, reach_workers, stage, texts
+from tidemark.llm.linear import ALL_TEXTS, BUCKETS, COUNTS_SCHEMA, FEATURES_SCHEMA, GROUP, Adam, Rows, distinct_buckets, features, sigmoid, text_counts
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
@@ -52,14 +54,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def telling(features_: DataFrame, n: int, m: int) -> DataFrame:
-    """The buckets by which n confirmed texts differ from m unlabelled ones; rare ones only
-    fit noise. Counts are formed map-side."""
-    each = features_.select("confirmed", F.explode("buckets").alias("bucket"))
-    counts = each.groupBy("bucket").agg(F.count_if("confirmed").alias("p"), F.count_if(~F.col("confirmed")).alias("u"))
+def counted(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(bucket, p, u): in how many of all confirmed and of all texts that aren't held out each
+    bucket is. Every task adds its texts up, so no text is shuffled but the confirmed ones."""
+    own = texts(docs).where(~held_out())
+    confirmed = stage(known.where("toxic = 1").distinct(), "toxic-confirmed")
+    with filtered_joins(docs.sparkSession):
+        p = own.join(confirmed.where("toxic = 1").select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(text_counts, COUNTS_SCHEMA)
+        p = p.withColumn("confirmed", F.lit(True))
+        u = own.mapInArrow(text_counts, COUNTS_SCHEMA).withColumn("confirmed", F.lit(False))
+        each = p.unionByName(u).groupBy("bucket")
+        return stage(each.agg(*(F.sum(F.when(F.col("confirmed") == is_p, F.col("texts")).otherwise(0)).alias(name) for name, is_p in (("p", True), ("u", False)))), "toxic-counts")
+
+
+def telling(counts: DataFrame) -> DataFrame:
+    """The buckets by which confirmed texts differ from unlabelled ones; rare ones only fit noise."""
+    n, m = counts.where(F.col("bucket") == ALL_TEXTS).agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("u"), F.lit(0))).first()
+    if not n or not m:
+        return counts.select("bucket").limit(0)
     share = (F.col("p") + F.col("u")) / (n + m)
     error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n + 1 / m))
-    return counts.where((F.abs(F.col("p") / n - F.col("u") / m) >= MIN_Z * error) & (F.col("p") >= MIN_TEXTS)).select("bucket")
+    apart = F.abs(F.col("p") / n - F.col("u") / m) >= MIN_Z * error
+    return counts.where((F.col("bucket") != ALL_TEXTS) & apart & (F.col("p") >= MIN_TEXTS)).select("bucket")
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, size: int) -> tuple[np.ndarray, float]:
@@ -122,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n, m = found.agg(F.count_if("confirmed"), F.count_if(~F.col("confirmed"))).first()
     if not n or not m:
         return nothing
-    kept = stage(telling(found, n, m).coalesce(SAMPLE_FILES), "toxic-buckets")
+    kept = stage(telling(counted(docs, known)).coalesce(SAMPLE_FILES), "toxic-buckets")
     buckets = np.sort(kept.toArrow().column("bucket").to_numpy())  # at most BUCKETS numbers
     each = found.select("doc_id", "confirmed", F.explode("buckets").alias("bucket")).join(kept, "bucket")
     rows = each.groupBy("doc_id", "confirmed").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).orderBy("confirmed", "doc_id").toArrow()
