@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -12,12 +12,48 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.shared import fresh_path as fresh_path
 from tidemark.sources.shared import qualified as qualified
-from tidemark.sources.shared import stage as stage
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of an Arrow batch to or from a Python worker.
 BATCH_BYTES = "8m"
 
+#: Paths of the tables staged within each open scratch().
+_SCRATCH: list[list[str]] = []
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends in durable files.
+
+    A lost executor costs only the tasks it ran, the planner knows the table's size, and what
+    isn't the same each time it is computed is computed once.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged within are deleted at the end, but for what is staged by the function given."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        mine = _SCRATCH.pop()
+        try:
+            return stage(df, name)
+        finally:
+            _SCRATCH.append(mine)
+
+    _SCRATCH.append([])
+    try:
+        yield keep
+    finally:
+        for path in _SCRATCH.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
 
 @contextmanager
 def filtered_joins(spark: SparkSession):

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filtered_joins, quoted, stage, unused, whole_text
+from tidemark.llm.common import filtered_joins, quoted, scratch, stage, unused, whole_text
 
 LEADING = 3
 MIN_DOCUMENTS = 10
@@ -114,20 +114,21 @@ def recurring_lines(docs: DataFrame, alone: DataFrame | None = None) -> DataFram
     alone: (doc_id, counts), documents that keep all their lines. Those that count are where
     a recurring line is kept rather than elsewhere; of the others nothing is read.
     """
-    lines = _lines(docs, alone)
-    held = lines.groupBy("leaf", "wording", "content").agg(F.min(F.struct((~F.col("stays")).alias("later"), "doc_id", "content", "pos")).alias("first"))
-    held = stage(held, "held")
-    templates = stage(_templates(docs, held), "templates")
-    named = held.join(templates, ["leaf", "wording"], "left").withColumn("template", F.coalesce("template", F.xxhash64(F.col("leaf").isNull(), "leaf", "wording")))
-    by_text = named.groupBy("template", "content").agg(F.min("first").alias("first"), F.max(F.col("leaf").isNull()).alias("by_words"))
-    least = F.when(F.col("by_words"), MIN_LONG).otherwise(MIN_DOCUMENTS)
-    recurring = by_text.groupBy("template", "by_words").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= least)
-    recurring = stage(recurring.select("template", F.struct("first.doc_id", "first.content", "first.pos").alias("first")), "recurring")
-    dropped = stage(named.select("leaf", "wording", "template").distinct().join(recurring, "template").select("wording", F.col("leaf").isNull().alias("words"), F.coalesce("leaf", F.lit(0)).alias("leaf"), "first"), "dropped")
-    at = lines.where("not stays").select("doc_id", "content", "pos", "wording", F.col("leaf").isNull().alias("words"), F.coalesce("leaf", F.lit(0)).alias("leaf"))
-    with filtered_joins(docs.sparkSession):
-        gone = at.join(dropped.where("leaf is not null").hint("merge"), ["words", "leaf", "wording"]).where(~F.struct("doc_id", "content", "pos").eqNullSafe(F.col("first")))
-        return stage(gone.groupBy("doc_id", "content").agg(F.collect_set("pos").alias("dropped")), "dropped-lines")
+    with scratch(docs.sparkSession) as keep:
+        lines = _lines(docs, alone)
+        held = lines.groupBy("leaf", "wording", "content").agg(F.min(F.struct((~F.col("stays")).alias("later"), "doc_id", "content", "pos")).alias("first"))
+        held = stage(held, "held")
+        templates = stage(_templates(docs, held), "templates")
+        named = held.join(templates, ["leaf", "wording"], "left").withColumn("template", F.coalesce("template", F.xxhash64(F.col("leaf").isNull(), "leaf", "wording")))
+        by_text = named.groupBy("template", "content").agg(F.min("first").alias("first"), F.max(F.col("leaf").isNull()).alias("by_words"))
+        least = F.when(F.col("by_words"), MIN_LONG).otherwise(MIN_DOCUMENTS)
+        recurring = by_text.groupBy("template", "by_words").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= least)
+        recurring = stage(recurring.select("template", F.struct("first.doc_id", "first.content", "first.pos").alias("first")), "recurring")
+        dropped = stage(named.select("leaf", "wording", "template").distinct().join(recurring, "template").select("wording", F.col("leaf").isNull().alias("words"), F.coalesce("leaf", F.lit(0)).alias("leaf"), "first"), "dropped")
+        at = lines.where("not stays").select("doc_id", "content", "pos", "wording", F.col("leaf").isNull().alias("words"), F.coalesce("leaf", F.lit(0)).alias("leaf"))
+        with filtered_joins(docs.sparkSession):
+            gone = at.join(dropped.where("leaf is not null").hint("merge"), ["words", "leaf", "wording"]).where(~F.struct("doc_id", "content", "pos").eqNullSafe(F.col("first")))
+            return keep(gone.groupBy("doc_id", "content").agg(F.collect_set("pos").alias("dropped")), "dropped-lines")
 
 
 def _decided(docs: DataFrame, alone: DataFrame | None = None) -> tuple[DataFrame, Column, Column]:

@@ -27,7 +27,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filtered_joins, quoted, rows_of, stage, texts
+from tidemark.llm.common import filtered_joins, quoted, rows_of, scratch, stage, texts
 from tidemark.llm.graph import components
 from tidemark.llm.words import combine, hash_words, multipliers, scramble, spaced_words
 
@@ -185,7 +185,7 @@ def _laid_out(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
     return laid.groupBy("g", "x", "y").applyInArrow(_block_links, "u long, v long")
 
 
-def _across(entries: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(entries: DataFrame, sets: DataFrame, laid_out: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Links between members (key, id, n, label) of one bucket whose labels differ."""
     sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "size")
     sizes = stage(sizes, "sizes")
@@ -202,7 +202,22 @@ def _across(entries: DataFrame, sets: DataFrame) -> DataFrame:
     at_home = outside.select(F.col("home").alias("g"), "id", "label").distinct()
     members = large.select(F.col("label").alias("g"), "id", "label").distinct().join(outside.select(F.col("home").alias("g")).distinct(), "g", "left_semi")
     among = outside.select(F.col("key").alias("g"), "id", "label")
-    return links.unionByName(_laid_out(at_home, members, sets)).unionByName(_laid_out(among, among, sets))
+    return links.unionByName(laid_out(at_home, members, sets)).unionByName(laid_out(among, among, sets))
+
+
+def linked_components(entries: DataFrame, sets: DataFrame, laid_out: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = _laid_out) -> DataFrame | None:
+    """(u, v), each node but the least of its component and that least one, for the members
+    (key, id, n) of buckets and their sets (id, shingles); None where there are no members.
+    laid_out finds the links of large buckets."""
+    if entries.isEmpty():
+        return None
+    # written, so that the join has no aggregation in its stage and a hot band key can be split
+    pivots = stage(entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn")), "pivots")
+    pairs = entries.join(pivots, "key").where((F.col("id") != F.col("pid")) & _similar_size("n", "pn")).select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct()
+    stars = components(_linked(pairs, sets))
+    rest = entries.join(pivots.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
+    rest = rest.join(stars.select(F.col("u").alias("id"), "v"), "id", "left").select("key", "id", "n", F.coalesce("v", "id").alias("label"))
+    return components(stars.unionByName(_across(stage(rest, "rest"), sets, laid_out)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,16 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ids = stage(entries.select("id", "n").distinct(), "candidates")
         sets = stage(own.join(ids.where("n > 0").select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
 
-    stars = None
-    if not entries.isEmpty():
-        # written, so that the join has no aggregation in its stage and a hot band key can be split
-        pivots = stage(entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p")).select("key", F.col("p.id").alias("pid"), F.col("p.n").alias("pn")), "pivots")
-        pairs = entries.join(pivots, "key").where((F.col("id") != F.col("pid")) & _similar_size("n", "pn")).select(F.col("pid").alias("a"), F.col("id").alias("b")).distinct()
-        stars = components(_linked(pairs, sets))
-        rest = entries.join(pivots.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
-        rest = rest.join(stars.select(F.col("u").alias("id"), "v"), "id", "left").select("key", "id", "n", F.coalesce("v", "id").alias("label"))
-        stars = components(stars.unionByName(_across(stage(rest, "rest"), sets)))
-
+    stars = linked_components(entries, sets)
     first = nodes.select("set_digest", "id")
     if stars is not None:
         first = first.join(stars.select(F.col("u").alias("id"), "v"), "id", "left").select("set_digest", F.coalesce("v", "id").alias("first"))
@@ -242,17 +248,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, counts): the documents of groups of two or more, counts for the one that stays."""
-    found = stage(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id", "kept").distinct(), "grouped")
-    groups = stage(found.where("not kept").select("component_id").distinct(), "groups")
-    return found.join(groups, "component_id", "left_semi").select("doc_id", F.col("kept").alias("counts"))
-
-
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns. Rows that share a
     doc_id are one document, of which one row with the least text stays."""
-    removed = stage(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-removed")
+    with scratch(docs.sparkSession) as keep:
+        removed = keep(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-removed")
     left = docs.join(removed.hint("merge"), "doc_id", "left_anti").select(*quoted(docs))
     repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if not repeated.isEmpty():
