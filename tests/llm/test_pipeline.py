@@ -65,6 +65,20 @@ def test_no_near_duplicate_of_the_raw_texts_is_packed(spark):
     assert removed and not removed & set(packed) and all(n > 1 or d in blank for d, n in packed.items())
 
 
+def test_kept_documents_of_groups_lose_recurring_lines(spark):
+    """Two groups share a long line, and so does a document of no group: it is kept once."""
+    long = " ".join("abcdefghijklmnopqrstuvwxyz"[:25])
+    own = lambda k: " ".join(f"{k}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120))
+    rows = [(10, f"{own('p')}\n{long}"), (11, f"{own('p')} x\n{long}"), (20, f"{own('q')}\n{long}"), (21, f"{own('q')} y\n{long}"), (5, f"{own('r')}\n{long}"), (6, own("s")), (None, "no id")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, `a.b` long")
+    apply = dict(corpus_pipeline.STAGES)
+    two = apply["line_dedup"](spark, docs, SF)
+    assert {(r.doc_id, r.text) for r in two.collect()} == {*rows} - {rows[4]} | {(5, own("r"))}
+    three = apply["near_dedup"](spark, two, SF)
+    assert three.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in three.collect()} == {rows[0], (20, own("q")), (5, own("r")), rows[5], rows[6]}
+
+
 def test_odd_rows(spark, odd, none):
     for df in (odd, none):
         for _, apply in corpus_pipeline.STAGES:

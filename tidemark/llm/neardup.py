@@ -248,12 +248,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, of_groups: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns. Rows that share a
-    doc_id are one document, of which one row with the least text stays."""
+    doc_id are one document, of which one row with the least text stays.
+
+    of_groups: applied to the rows that stay of groups of two or more.
+    """
     with scratch(docs.sparkSession) as keep:
-        removed = keep(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-removed")
-    left = docs.join(removed.hint("merge"), "doc_id", "left_anti").select(*quoted(docs))
+        removed = keep(near_duplicates(docs).where(~F.col("kept")).select("doc_id", "component_id").distinct(), "near-removed")
+    names = removed.select("doc_id")
+    if of_groups is None:
+        return _one_row_each(docs, docs.join(names.hint("merge"), "doc_id", "left_anti"))
+    firsts = removed.groupBy(F.col("component_id").alias("doc_id")).agg(F.count("*").alias("n")).join(names, "doc_id", "left_anti")
+    firsts = stage(firsts, "near-firsts")
+    with filtered_joins(docs.sparkSession):  # only the texts of groups are shuffled
+        first = stage(_one_row_each(docs, docs.join(firsts.where("n > 0").select("doc_id").hint("merge"), "doc_id", "left_semi")), "near-groups")
+    rest = docs.join(names.unionByName(firsts.select("doc_id")).hint("merge"), "doc_id", "left_anti")
+    return _one_row_each(docs, rest).unionByName(of_groups(first))
+
+
+def _one_row_each(docs: DataFrame, left: DataFrame) -> DataFrame:
+    """left, rows of docs, with one row a doc_id."""
+    left = left.select(*quoted(docs))
     repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if not repeated.isEmpty():
         row = F.struct(*quoted(docs))
