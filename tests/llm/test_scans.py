@@ -349,6 +349,21 @@ def test_line_dedup_is_native(docs):
     assert "Python" not in line_templates.line_dedup(docs)._jdf.queryExecution().toString()
 
 
+def test_lines_are_split_once(docs):
+    """A lambda's body is computed for each line: the text must not be split in it."""
+    plan = line_templates.line_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(" in plan and not re.search(r"lambdafunction\((get\()?split\(", plan)
+
+
+def test_only_lines_with_digits_are_masked(spark):
+    """Equal to masking every line, and a line without digit doesn't meet the pattern."""
+    lines = ["", "a b", "<*> x", "a1 b", "b 2", " 3  c4d ", "x\ty7 z", "é٣ w", "no-digit.", "9"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [r[0] for r in df.select(line_templates._masked("line")).collect()]
+    assert got == [" ".join("<*>" if re.search("[0-9]", t) else t for t in x.split(" ")) for x in lines]
+    assert "CASE WHEN RLIKE(line" in df.select(line_templates._masked("line"))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_deduplicated_keeps_columns(odd):
     got = line_templates.deduplicated(odd)
     assert got.columns == odd.columns and got.count() == odd.count()  # no text of odd has only lines of others

@@ -49,8 +49,9 @@ ENOUGH = rf"^(?:[^\p{{L}}]*+\p{{L}}[^ ]*+){{{WORDS}}}"
 VARIABLE = r"(?<![^ \n])[^ 0-9\n]*+[0-9][^ \n]*+"
 
 
-def _masked(text: Column | str) -> Column:
-    return F.regexp_replace(text, VARIABLE, "<*>")
+def _masked(line: str) -> Column:
+    # most lines have no digit, which is quicker to tell than to look at each token's start
+    return F.when(F.col(line).rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(F.col(line))
 
 
 def _n_tokens(line: str) -> Column:
@@ -74,7 +75,8 @@ def _templates(docs: DataFrame, held: DataFrame) -> DataFrame:
     wanted = wordings.join(leaves, "leaf").groupBy(F.col("at.doc_id").alias("wanted_id"), F.col("at.content").alias("content")).agg(F.collect_list(F.struct("at.pos", "leaf", "wording")).alias("lines"), F.count("*").alias("n"))
     wanted = stage(wanted, "wanted").where("n > 0")
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("content"), whole_text().alias("text")).join(wanted.hint("merge"), ["content"]).where(F.col("doc_id").eqNullSafe(F.col("wanted_id")))
-    rows = rows.select(F.split(_masked("text"), "\n").alias("all"), F.explode("lines").alias("l")).select("l.leaf", "l.wording", F.split(F.trim(F.get("all", F.col("l.pos"))), " ", -1).alias("tokens"))
+    rows = rows.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("l")).select("l.leaf", "l.wording", F.trim(F.get("all", F.col("l.pos"))).alias("raw"))
+    rows = rows.select("leaf", "wording", F.split(_masked("raw"), " ", -1).alias("tokens"))
     with filtered_joins(docs.sparkSession):  # only texts with a wanted line are shuffled
         variants = stage(rows, "variants").dropDuplicates(["leaf", "wording"])
     kept = (F.size("tokens") - LEADING - F.greatest(F.lit(1), F.floor(F.size("tokens") / VARIABLE_SHARE))).cast("int")
@@ -92,14 +94,15 @@ def _templates(docs: DataFrame, held: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame, alone: DataFrame | None) -> DataFrame:
     """(doc_id, content, pos, leaf, wording, stays): a row per line with tokens, and for a long
     line one more, with null leaf and the hash of its own words."""
-    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("content"), F.posexplode(F.arrays_zip(F.split(_masked(whole_text()), "\n").alias("line"), F.split(whole_text(), "\n").alias("raw"))).alias("pos", "of"))
-    rows = rows.select("doc_id", "content", "pos", F.trim("of.line").alias("line"), F.trim("of.raw").alias("raw")).where("line <> ''").withColumn("n", _n_tokens("line"))
+    # never empty; the plain explode() would be filtered by its whole expression, split twice
+    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("content"), F.posexplode_outer(F.split(whole_text(), "\n")).alias("pos", "raw"))
+    rows = rows.withColumn("raw", F.trim("raw")).where("raw <> ''").withColumn("line", _masked("raw")).withColumn("n", _n_tokens("raw"))
     # without enough words a line stands in a leaf of its own
-    own = F.when(F.col("line").contains("<*>") & ~F.col("line").rlike(ENOUGH), F.xxhash64(F.lit("alone"), F.col("raw")))
-    by_template = F.struct(F.coalesce(own, F.xxhash64("n", F.substring_index("line", " ", LEADING))).alias("leaf"), F.coalesce(own, F.xxhash64("line")).alias("wording"))
+    rows = rows.withColumn("own", F.when(F.col("line").contains("<*>") & ~F.col("line").rlike(ENOUGH), F.xxhash64(F.lit("alone"), F.col("raw"))))
+    by_template = F.struct(F.coalesce("own", F.xxhash64("n", F.substring_index("line", " ", LEADING))).alias("leaf"), F.coalesce("own", F.xxhash64("line")).alias("wording"))
     by_words = F.struct(F.lit(None).cast("long").alias("leaf"), F.xxhash64(F.lit("words"), F.col("raw")).alias("wording"))
     keys = F.when(F.col("n") >= LONG, F.array(by_template, by_words)).otherwise(F.array(by_template))
-    lines = stage(rows.select("doc_id", "content", "pos", F.explode(keys).alias("k")).select("doc_id", "content", "pos", "k.*"), "lines")
+    lines = stage(rows.select("doc_id", "content", "pos", F.explode_outer(keys).alias("k")).select("doc_id", "content", "pos", "k.*"), "lines")
     if alone is None:
         return lines.withColumn("stays", F.lit(False))
     told = stage(alone.select("doc_id", "counts").where("doc_id is not null"), "alone")
@@ -137,9 +140,14 @@ def _decided(docs: DataFrame, alone: DataFrame | None = None) -> tuple[DataFrame
     of_id, of_content, gone = unused(docs, "dropped_of", "dropped_content", "dropped")
     found = recurring_lines(docs, alone).select(F.col("doc_id").alias(of_id), F.col("content").alias(of_content), F.col("dropped").alias(gone))
     same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64(whole_text()) == F.col(of_content))
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+
+
+    def shortened(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    # the lines as a lambda's argument: split once, not again for each line that is taken from them
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(F.split("text", "\n")), shortened), F.lit(0)))
     return docs.join(found.hint("merge"), same, "left"), F.col(gone), text
 
 
