@@ -56,12 +56,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
 
 
 @contextmanager
-def filtered_joins(spark: SparkSession):
-    """Within, Spark filters the large side of a shuffled join by a Bloom filter of bounded
-    size (spark.sql.optimizer.runtime.bloomFilter.maxNumBits) before it shuffles. The small
-    sides grow with the corpus, so they are merged at every size, never broadcast."""
-    name = "spark.sql.optimizer.runtime.bloomFilter."
-    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", name + "enabled": "true", name + "applicationSideScanSizeThreshold": "0", name + "creationSideThreshold": "1g"}
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Within, these settings of the session hold."""
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -72,6 +68,14 @@ def filtered_joins(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def filtered_joins(spark: SparkSession):
+    """Within, Spark filters the large side of a shuffled join by a Bloom filter of bounded
+    size (spark.sql.optimizer.runtime.bloomFilter.maxNumBits) before it shuffles. The small
+    sides grow with the corpus, so they are merged at every size, never broadcast."""
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    return settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", name + "enabled": "true", name + "applicationSideScanSizeThreshold": "0", name + "creationSideThreshold": "1g"})
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Let Python workers import this package even when the driver runs in another folder, and
     keep Arrow batches small: texts are long, and each task holds a batch on either side."""

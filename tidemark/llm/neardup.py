@@ -124,7 +124,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").where(both * SIMILAR[1] >= union * SIMILAR[0]).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
 
-def _similar_size(n: str, m: str) -> Column:
+def _similar_size(n: str | Column, m: str | Column) -> Column:
     return F.least(n, m) * SIMILAR[1] >= F.greatest(n, m) * SIMILAR[0]
 
 
