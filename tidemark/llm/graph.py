@@ -2,35 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """One round: every node and its larger neighbours are tied to its least neighbour, then
-    every node's smaller neighbours to the least of them. Hubs are reduced map-side."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    rest = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = low.select("u", F.col("m").alias("v"))
-    return rest.unionByName(own).where("u <> v").distinct()
+    """One round over edges (u, v), v < u: every node's larger neighbours are tied to its least
+    neighbour or itself, then every node and its smaller neighbours to the least of them.
+    moved: the round changed that edge; where none did, each node has one edge, to its least.
+
+    What is shuffled is the least neighbour of each node, and the edges by either end.
+    """
+    least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+    in_order = Window.partitionBy("u").orderBy("v", F.desc("moved"))
+    whole = large.select("u", "v", "moved", F.lag("v").over(in_order).alias("before"), F.min("v").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    whole = whole.where("before is null or before <> v")
+    return whole.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (F.col("moved") | (F.col("v") != F.col("m"))).alias("moved"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> (u, v): every node but the least of its component, and that least one.
 
-    Null ends and loops count for nothing. Rounds grow with the logarithm of the longest
-    path; each is a written table, so a lost executor costs one round's tasks at most.
+    Null ends and loops count for nothing, repeated edges once. Rounds grow with the logarithm of
+    the longest path; each is a written table, so a lost executor costs one round's tasks at most.
     """
-    now = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    now = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     while True:
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if sums == seen or not sums[0]:
-            return now
-        seen = sums
-        now = stage(_star(now), "edges")
+        now = stage(_star(now.select("u", "v")), "edges")
+        if not now.agg(F.max("moved")).first()[0]:
+            return now.select("u", "v")
