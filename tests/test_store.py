@@ -270,3 +270,15 @@ def test_counters(spark, root):
     got = store.summary()
     assert (got["reads"], got["writes"], got["files_opened"], got["files_skipped"]) == (2, 2, 1, 1)
     assert (got["bloom_filters"], got["bloom_keys"]) == (2, 2) and got["bloom_bytes"] == 2 * (2 + 20) and 0 < got["bloom_error"] < 0.02
+
+
+def test_a_filter_is_as_large_as_its_keys_ask_for(spark, tmp_path):
+    """Parquet's own choice is a MB a file, and a compaction took these MB for data, so that files multiplied."""
+    sizes = {}
+    for bloom in (True, False):
+        store, batch = Store.open(spark, f"file://{tmp_path}/{bloom}", Options(bloom=bloom)), Batch()
+        for i in range(50):
+            batch.put(f"k{i:02d}".encode(), b"v")
+        store.write(batch)
+        sizes[bloom] = store.flush().size
+    assert 50 <= sizes[True] - sizes[False] < 1000

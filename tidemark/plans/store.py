@@ -208,8 +208,9 @@ class Store:
 
     # files
 
-    def _write_files(self, ops: DataFrame, level: int, size: int) -> list[File]:
-        """Sorted files for ranges of the keys, about file_bytes of the given size in each."""
+    def _write_files(self, ops: DataFrame, level: int, size: int, entries: int) -> list[File]:
+        """Sorted files for ranges of the keys, about file_bytes of the given size in each. entries,
+        which ops has at most, size the filters: Parquet's own choice is a MB each, whatever they hold."""
         o, first = self.options, self.manifest.next_file
         per_file = max(1, o.partitions)
         n = max(1, -(-size // max(1, o.file_bytes))) * per_file
@@ -219,6 +220,7 @@ class Store:
         writer = spread.select("key", "seq", "kind", "value", number.alias("file")).sortWithinPartitions("file", "key", F.desc("seq")).write.partitionBy("file")
         if o.bloom:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(o.bloom_error))
+            writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(max(1, 2 * entries // n)))  # twice the mean: ranges come from a sample
         writer.parquet(f"{self.folder.root}/{folder}")
         if not any(x.startswith("file=") for x in self.folder.names(folder)):  # nothing was left to write
             self.folder.delete(folder)
@@ -258,7 +260,7 @@ class Store:
         if not m.logs:
             return None
         ops = versions.collect_garbage(self._read(x["path"] for x in m.logs), self._needed())
-        new = self._write_files(ops, 0, sum(x["bytes"] for x in m.logs))
+        new = self._write_files(ops, 0, sum(x["bytes"] for x in m.logs), sum(x["count"] for x in m.logs))
         self._replace([], list(m.logs), new, "flush", 0)
         return new[0] if new else None
 
@@ -302,7 +304,7 @@ class Store:
             chosen = self._widened(chosen, 0)
         taken = self._widened(chosen, target)
         ops = versions.collect_garbage(self._read(f.path for f in taken), self._needed(), bottom=not self._older_elsewhere(taken))
-        new = self._write_files(ops, target, sum(f.size for f in taken))
+        new = self._write_files(ops, target, sum(f.size for f in taken), sum(f.entries for f in taken))
         self._replace(taken, [], new, what, target)
         return new[0] if new else None
 
