@@ -282,3 +282,16 @@ def test_a_filter_is_as_large_as_its_keys_ask_for(spark, tmp_path):
         store.write(batch)
         sizes[bloom] = store.flush().size
     assert 50 <= sizes[True] - sizes[False] < 1000
+
+
+def test_compactions_don_t_multiply_files(spark, root):
+    """Footers and filters are no data: files of a few entries are merged, not dealt out again."""
+    store = Store.open(spark, root, Options(file_bytes=1000))
+    rows = spark.range(200).select(F.col("id").alias("op_index"), F.format_string("k%03d", "id").alias("key"), F.lit(1).alias("kind"), F.lit("value").alias("value"))
+    store.load(rows)
+    store.flush()
+    counts = [len(store.manifest.files)]
+    for level in range(3):
+        store.compact_range(level)
+        counts.append(len(store.manifest.files))
+    assert counts[0] == 4 and max(counts) == 4 and sum(f.data for f in store.manifest.files) == 200 * 17 and len(visible(store)) == 200

@@ -226,9 +226,9 @@ class Store:
             self.folder.delete(folder)
             return []
         held = self.spark.read.schema(f"{OPS}, file long").parquet(f"{self.folder.root}/{folder}").groupBy("file", F.col("_metadata.file_path"), F.col("_metadata.file_size").alias("size"))
-        parts = held.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
-        rows = parts.groupBy("file").agg(F.hex(F.min("low")).alias("low"), F.hex(F.max("high")).alias("high"), F.sum("n").alias("n"), F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq"), F.sum("size").alias("size")).orderBy("file")
-        return [File(level, r.file, f"{folder}/file={r.file}", r.size, r.n, r.low.lower(), r.high.lower(), r.max_seq, r.min_seq) for r in rows.collect()]
+        parts = held.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.sum(entry_bytes(F.col("key"), F.col("value"))).alias("data"))
+        rows = parts.groupBy("file").agg(F.hex(F.min("low")).alias("low"), F.hex(F.max("high")).alias("high"), F.sum("n").alias("n"), F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq"), F.sum("size").alias("size"), F.sum("data").alias("data")).orderBy("file")
+        return [File(level, r.file, f"{folder}/file={r.file}", r.size, r.n, r.low.lower(), r.high.lower(), r.max_seq, r.min_seq, r.data) for r in rows.collect()]
 
     def _replace(self, old_files: list[File], old_logs: list[dict], new: list[File], what: str, level: int) -> None:
         """Publish new for old; the old ones' data is retired."""
@@ -304,7 +304,7 @@ class Store:
             chosen = self._widened(chosen, 0)
         taken = self._widened(chosen, target)
         ops = versions.collect_garbage(self._read(f.path for f in taken), self._needed(), bottom=not self._older_elsewhere(taken))
-        new = self._write_files(ops, target, sum(f.size for f in taken), sum(f.entries for f in taken))
+        new = self._write_files(ops, target, sum(f.size if f.data is None else min(f.size, f.data) for f in taken), sum(f.entries for f in taken))
         self._replace(taken, [], new, what, target)
         return new[0] if new else None
 
