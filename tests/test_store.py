@@ -294,4 +294,14 @@ def test_compactions_don_t_multiply_files(spark, root):
     for level in range(3):
         store.compact_range(level)
         counts.append(len(store.manifest.files))
-    assert counts[0] == 4 and max(counts) == 4 and sum(f.data for f in store.manifest.files) == 200 * 17 and len(visible(store)) == 200
+    assert counts[0] == 4 and max(counts) == 4 and len(visible(store)) == 200
+
+
+def test_a_flush_makes_files_for_what_is_left(spark, root, tmp_path):
+    """Many versions of few keys: one file, not one for each file_bytes of the log; nothing else stays."""
+    store = Store.open(spark, root, Options(file_bytes=1000))
+    rows = spark.range(1000).select(F.col("id").alias("op_index"), F.format_string("k%02d", F.col("id") % 40).alias("key"), F.lit(1).alias("kind"), F.lit("value").alias("value"))
+    store.load(rows)
+    store.flush()
+    assert [f.entries for f in store.manifest.files] == [40] and len(visible(store)) == 40
+    assert {p.name for p in (tmp_path / "db" / "data").iterdir()} == {"L0"}

@@ -208,9 +208,21 @@ class Store:
 
     # files
 
-    def _write_files(self, ops: DataFrame, level: int, size: int, entries: int) -> list[File]:
-        """Sorted files for ranges of the keys, about file_bytes of the given size in each. entries,
-        which ops has at most, size the filters: Parquet's own choice is a MB each, whatever they hold."""
+    def _write_files(self, ops: DataFrame, level: int) -> list[File]:
+        """Sorted files for ranges of the keys, about file_bytes of entries in each. ops is written
+        first and counted: what a garbage collection leaves can be far less than it read."""
+        work = f"data/work-{uuid.uuid4().hex}"
+        try:
+            ops.select("key", "seq", "kind", "value").write.parquet(f"{self.folder.root}/{work}")
+            left = self._read([work])
+            entries, size = left.agg(F.count("*"), F.sum(entry_bytes(F.col("key"), F.col("value")))).first()
+            return self._dealt_out(left, level, size, entries) if entries else []
+        finally:
+            self.folder.delete(work)
+
+    def _dealt_out(self, ops: DataFrame, level: int, size: int, entries: int) -> list[File]:
+        """The files of ops, which has so many bytes and entries. The entries size the filters:
+        Parquet's own choice is a MB each, whatever they hold."""
         o, first = self.options, self.manifest.next_file
         per_file = max(1, o.partitions)
         n = max(1, -(-size // max(1, o.file_bytes))) * per_file
@@ -222,13 +234,10 @@ class Store:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(o.bloom_error))
             writer = writer.option("parquet.bloom.filter.expected.ndv#key", str(max(1, 2 * entries // n)))  # twice the mean: ranges come from a sample
         writer.parquet(f"{self.folder.root}/{folder}")
-        if not any(x.startswith("file=") for x in self.folder.names(folder)):  # nothing was left to write
-            self.folder.delete(folder)
-            return []
         held = self.spark.read.schema(f"{OPS}, file long").parquet(f"{self.folder.root}/{folder}").groupBy("file", F.col("_metadata.file_path"), F.col("_metadata.file_size").alias("size"))
-        parts = held.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"), F.sum(entry_bytes(F.col("key"), F.col("value"))).alias("data"))
-        rows = parts.groupBy("file").agg(F.hex(F.min("low")).alias("low"), F.hex(F.max("high")).alias("high"), F.sum("n").alias("n"), F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq"), F.sum("size").alias("size"), F.sum("data").alias("data")).orderBy("file")
-        return [File(level, r.file, f"{folder}/file={r.file}", r.size, r.n, r.low.lower(), r.high.lower(), r.max_seq, r.min_seq, r.data) for r in rows.collect()]
+        parts = held.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
+        rows = parts.groupBy("file").agg(F.hex(F.min("low")).alias("low"), F.hex(F.max("high")).alias("high"), F.sum("n").alias("n"), F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq"), F.sum("size").alias("size")).orderBy("file")
+        return [File(level, r.file, f"{folder}/file={r.file}", r.size, r.n, r.low.lower(), r.high.lower(), r.max_seq, r.min_seq) for r in rows.collect()]
 
     def _replace(self, old_files: list[File], old_logs: list[dict], new: list[File], what: str, level: int) -> None:
         """Publish new for old; the old ones' data is retired."""
@@ -260,7 +269,7 @@ class Store:
         if not m.logs:
             return None
         ops = versions.collect_garbage(self._read(x["path"] for x in m.logs), self._needed())
-        new = self._write_files(ops, 0, sum(x["bytes"] for x in m.logs), sum(x["count"] for x in m.logs))
+        new = self._write_files(ops, 0)
         self._replace([], list(m.logs), new, "flush", 0)
         return new[0] if new else None
 
@@ -304,7 +313,7 @@ class Store:
             chosen = self._widened(chosen, 0)
         taken = self._widened(chosen, target)
         ops = versions.collect_garbage(self._read(f.path for f in taken), self._needed(), bottom=not self._older_elsewhere(taken))
-        new = self._write_files(ops, target, sum(f.size if f.data is None else min(f.size, f.data) for f in taken), sum(f.entries for f in taken))
+        new = self._write_files(ops, target)
         self._replace(taken, [], new, what, target)
         return new[0] if new else None
 
