@@ -64,3 +64,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["key", "value", "seq"]
     assert set(queries.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_probe_of_a_filter_stays_one_row(spark):
+    assert "Generate" not in plan(queries.kv_bloom_prune(spark, SF))

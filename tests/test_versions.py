@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import levels, scan, versions
+from tidemark.operators import levels, ranges, scan, versions
 
 OPS = "key binary, seq long, kind int, value binary"
 
@@ -186,3 +186,17 @@ def test_range_joins_small_and_large(spark, monkeypatch, limit):
     keys = spark.createDataFrame([(k,) for k in [*range(-5, 260, 3), None]], "key long")
     near = [tuple(x) for x in levels.near_ranges(keys, f).collect()]
     assert len(near) == len(set(near)) and set(near) == {(n, k) for (k,) in keys.collect() if k is not None for n, a, b in files if low(a) <= k <= high(b)}
+
+
+@pytest.mark.parametrize("limit", [1, 1 << 20])
+def test_range_joins_are_dealt_over_tasks(spark, monkeypatch, limit):
+    """Few keys can be many pairs: no task makes most of them, whether or not files lie where most keys do."""
+    monkeypatch.setattr(levels.broadcast_if_small, "__defaults__", (limit,))
+    files = spark.range(50).select(F.col("id").alias("file_number"), F.lit(100).cast("long").alias("smallest"), F.lit(299).cast("long").alias("largest"))
+    keys = spark.range(0, 20_000, 1, 1).select(F.col("id").alias("key")).distinct()
+    monkeypatch.setattr(ranges, "SLICES", 20)
+    near = levels.near_ranges(keys, files).cache()
+    assert near.count() == near.distinct().count() == 50 * 200 and near.where("key not between 100 and 299").count() == 0
+    most = near.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 0.6 * near.count()
+    near.unpersist()
