@@ -68,3 +68,10 @@ def test_entry(spark):
 
 def test_a_probe_of_a_filter_stays_one_row(spark):
     assert "Generate" not in plan(queries.kv_bloom_prune(spark, SF))
+
+
+def test_the_store_s_files_hold_little_more_than_entries(spark):
+    """Filters of a fixed size were 1 MB a file."""
+    store, _ = queries._stored(spark, SF)
+    files, kept = store.manifest.files, store.ops().count()
+    assert kept == sum(f.entries for f in files) and sum(f.size for f in files) < 100 * kept + 4000 * len(files) and len(files) < 10
